@@ -5,17 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm.frames import table
+from foliant.llm.brown import brown_scores
+from foliant.llm.decontaminate import contamination, judged
+from foliant.llm.frames import remainder, table
 from foliant.llm.minhash import near_duplicates
 
 
+def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(table(spark, sf_dir, "documents"), remainder("doc_id", 5) != 1)
+
+
+def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judged(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    listed = F.array_join(F.sort_array(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_minhash": op10_minhash}
+    return {"op6_brown": op6_brown, "op7_fm_index": op7_fm_index, "op10_minhash": op10_minhash}
 
 
 def oracle_sql() -> dict[str, str]:
