@@ -62,7 +62,7 @@ def _cuts(value: np.ndarray, ranges: int) -> np.ndarray:
 
 
 def _shard_counts(ranges: int):
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):
         train = group.column("train").to_numpy().astype(bool)
         values, weights, spelled = [], [], []
         for i, _, row, value, spelling in _tokens(group.column("text")):
@@ -86,7 +86,7 @@ def _shard_counts(ranges: int):
 def _range_totals(head: int):
     """Totals of one hash range: a row for each shard, one of figures by spelling item, one of the most frequent words."""
 
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):
         flat = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), dtype=kind) for x in group.column(name)])
         value, count, item = flat("words", np.uint64), flat("counts", np.uint32), flat("items", np.uint16)
         distinct = _distinct(value)
@@ -142,7 +142,7 @@ def _bigrams(shared, size: int):
 
 
 def _bigram_sums(size: int):
-    def run(key, group: pa.Table) -> pa.Table:
+    def run(key, group):
         total = np.zeros(size, dtype=np.int64)
         for right, n in zip(group.column("right"), group.column("n"), strict=True):
             total[np.frombuffer(right.as_py(), dtype=np.int32)] += np.frombuffer(n.as_py(), dtype=np.int64)
@@ -225,7 +225,7 @@ class Model:
 
 
 def _scored(shared):
-    def run(key, texts: pa.Table, counts: pa.Table) -> pa.Table:
+    def run(key, texts, counts):
         model, heads, order = shared.value
         counts = counts.sort_by("range")
         total = [np.frombuffer(x.as_py(), dtype=np.uint64 if w.as_py() else np.uint32).astype(np.int64) for x, w in zip(counts.column("packed"), counts.column("wide"), strict=True)]

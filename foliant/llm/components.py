@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.frames import cut
+from foliant.llm.frames import cut, drop
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     side, which adaptive execution splits. Null ends and loops are ignored.
     """
     todo = cut(edges.select("a", "b").where("a <> b").distinct())
-    label = None
+    label = previous = None
     for k in range(rounds):
         if todo.isEmpty():
             break
@@ -31,7 +31,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             label = to.select(F.col("v").alias("id"), F.col("to").alias("now"))
         else:
             label = label.join(to.withColumnRenamed("v", "now"), "now", "left").select("id", F.coalesce("to", "now").alias("now"))
-        label, todo = cut(label), cut(new)
+        label, old, new = cut(label), (previous, to, todo), cut(new)
+        drop(*old)
+        previous, todo = label, new
     else:
         raise RuntimeError(f"components: links are left after {rounds} rounds")
     if label is None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,25 @@ def folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it from there: executors may be lost afterwards."""
-    folder(df.sparkSession)
-    return df.checkpoint()
+    """Write df as a table in the shared folder and read it from there: executors may be lost afterwards.
+
+    A table, not checkpoint(): a checkpoint's plan carries the constraints of all steps before it, and in
+    loops they grow without end.
+    """
+    path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._foliant_path = path
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Delete tables that cut() wrote and nothing reads any more."""
+    for df in frames:
+        if df is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(df._foliant_path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded(spark: SparkSession, rows: int = 4096, size: str = "8m") -> None:

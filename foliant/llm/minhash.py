@@ -224,8 +224,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     member = member.select("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), (F.col("t") < F.col("o")).cast("int").alias("side"), "id", "label")
     member = member.join(own.select("id", "n", "regs"), "id").select("key", "x", "y", "side", "id", "label", "n", "regs")
     crossed = member.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossed(similarity), "a long, b long").distinct()
-    links = cut(first.unionAll(linked(crossed, False)))
-    found = components(links)
-    out = sk.select("id", "n").join(found, "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    name = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"l{side}"))
+    between = linked(crossed, False).join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    merged = components(between).select(F.col("id").alias("class"), F.col("component").alias("whole"))
+    out = sk.select("id", "n").join(label, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
+    out = out.join(merged, "class", "left").withColumn("component", F.coalesce("whole", "class"))
+    return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
