@@ -80,17 +80,18 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, hashed: bool = True):
-    """(starts, ends, row, hash) of every word; words never cross a row."""
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, hashed: bool = True, kinds: np.ndarray | None = None):
+    """(starts, ends, row, hash) of every word; words never cross a row, nor, with kinds, bytes of different kinds."""
     codes = table[data]
     inside = codes != 0
     if not len(codes) or not inside.any():
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, np.zeros(0, dtype=np.uint64)
+    change = inside[1:] != inside[:-1] if kinds is None else (kind := kinds[data])[1:] != kind[:-1]
     first = inside.copy()
-    first[1:] &= ~inside[:-1]
+    first[1:] &= change
     last = inside.copy()
-    last[:-1] &= ~inside[1:]
+    last[:-1] &= change
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < len(codes))]
     first[edges] = inside[edges]

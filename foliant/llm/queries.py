@@ -11,6 +11,12 @@ from foliant.llm.brown import brown_scores
 from foliant.llm.decontaminate import contamination, judged
 from foliant.llm.frames import remainder, table
 from foliant.llm.minhash import near_duplicates
+from foliant.llm.quality import quality_scores
+from foliant.llm.subspace import near_vectors
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 3) == 1)
 
 
 def op6_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +29,16 @@ def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), "contaminated")
 
 
+def op8_subspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_brown": op6_brown, "op7_fm_index": op7_fm_index, "op10_minhash": op10_minhash}
+    return {f.__name__: f for f in (op1_quality, op6_brown, op7_fm_index, op8_subspace, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
