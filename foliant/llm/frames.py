@@ -56,3 +56,19 @@ def remainder(column: str, n: int):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """Rows of df whose column may be among keys (one column, already cut): a one-hash Bloom filter.
+
+    The bitmap holds eight bits for each key, 16 MB at most, and is broadcast. Beyond that it lets more
+    rows through; what follows still has to join exactly.
+    """
+    key = keys.columns[0]
+    bits = max(1 << 15, min(most_bits, 1 << max(0, 8 * keys.count() - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    maps = keys.groupBy(F.shiftright(place(key), 15).alias("_bucket")).agg(F.bitmap_construct_agg((place(key) % (1 << 15))).alias("_map"))
+    at = place(column) % (1 << 15)
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = df.withColumn("_bucket", F.shiftright(place(column), 15)).join(F.broadcast(maps), "_bucket")
+    return found.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).drop("_bucket", "_map")

@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.arrays import mix, shingles, word_rows
+from foliant.llm.arrays import mix, shingles, text_bytes, word_rows
 from foliant.llm.components import components
-from foliant.llm.frames import bounded, cut
+from foliant.llm.frames import bounded, cut, maybe_in
 
 REGISTERS, ROWS, MANTISSA, REST = 128, 4, 10, 57
 BANDS = REGISTERS // ROWS
@@ -49,19 +49,22 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.where(here, value, EMPTY).astype(np.uint16)
 
 
-def bands(sketch: np.ndarray) -> np.ndarray:
-    """32 keys of a sketch that has at least one register with a hash."""
-    full = sketch.copy()
-    need = np.flatnonzero(full == EMPTY)
-    for row in _DONORS:
-        if not len(need):
-            break
-        full[need] = sketch[row[need]]
-        need = need[full[need] == EMPTY]
-    if len(need):
-        have = np.flatnonzero(sketch != EMPTY)
-        full[need] = sketch[have[np.searchsorted(have, need) % len(have)]]
-    return mix((mix(full.astype(np.uint64) + np.uint64(1)) * _BAND).reshape(ROWS, BANDS).sum(axis=0, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+def bands(grid: np.ndarray) -> np.ndarray:
+    """32 keys for each row of sketches; every sketch has at least one register with a hash."""
+    full = grid.copy()
+    for r in np.flatnonzero((grid == EMPTY).any(axis=1)):
+        sketch = grid[r]
+        need = np.flatnonzero(sketch == EMPTY)
+        for row in _DONORS:
+            full[r, need] = sketch[row[need]]
+            need = need[full[r, need] == EMPTY]
+            if not len(need):
+                break
+        if len(need):
+            have = np.flatnonzero(sketch != EMPTY)
+            full[r, need] = sketch[have[np.searchsorted(have, need) % len(have)]]
+    spread = mix(full.astype(np.uint64) + np.uint64(1)) * _BAND
+    return mix(spread.reshape(-1, ROWS, BANDS).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,29 +89,28 @@ def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, bound, value in word_rows(batch.column(1)):
-                n, low, high, regs, keys = [], [], [], [], []
+                n, low, high, regs = [], [], [], []
                 for r in range(j - i):
                     own = shingles(value[bound[r] : bound[r + 1]], size)
                     n.append(len(own))
                     low.append(int(mix(own + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
                     high.append(int(mix(own ^ np.uint64(0x5DEECE66D1234567)).sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
-                    sketch = registers(own) if len(own) else None
-                    regs.append(sketch.tobytes() if len(own) else None)
-                    keys.append(bands(sketch) if len(own) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(regs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "low", "high", "regs", "keys"])
+                    regs.append(registers(own).tobytes() if len(own) else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(regs, pa.binary())], names=["id", "n", "low", "high", "regs"])
 
     return run
 
 
 def _grid(column: pa.Array) -> np.ndarray:
-    raw, offsets = _binary(column)
-    return raw.view(np.uint16).reshape(len(offsets) - 1, REGISTERS)
-
+    raw, offsets = text_bytes(column)
+    return np.frombuffer(raw.tobytes(), dtype=np.uint16).reshape(len(offsets) - 1, REGISTERS)
 
-def _binary(column):
-    from foliant.llm.arrays import text_bytes
 
-    return text_bytes(column)
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            keys = bands(_grid(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(keys)), BANDS))), pa.array(keys.reshape(-1))], names=["id", "key"])
 
 
 def _filtered(similarity: float):
@@ -195,34 +197,37 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     similarity = percent / 100
     bounded(docs.sparkSession)
     ids = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    sk = cut(ids.mapInArrow(_sketched(size), "id long, n long, low long, high long, regs binary, keys array<long>"))
-    nodes = sk.where("n > 0 and id is not null")
-    same = ("n", "low", "high")
-    rep = cut(nodes.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    twins = nodes.join(rep.where("copies > 1"), list(same)).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    own = nodes.join(rep.select(F.col("rep").alias("id"), *(F.col(c).alias(f"{c}_") for c in same)), "id").where(" and ".join(f"{c} = {c}_" for c in same)).drop(*(f"{c}_" for c in same))
-    own = own.dropDuplicates(["id", *same])
-    keyed = own.select("id", "n", F.explode("keys").alias("key"))
+    sk = cut(ids.mapInArrow(_sketched(size), "id long, n long, low long, high long, regs binary"))
+    same = ["n", "low", "high"]
+    own = cut(sk.where("n > 0 and id is not null").groupBy(*same).agg(F.min("id").alias("id"), F.max("id").alias("last"), F.any_value("regs").alias("regs")))
+    twins = sk.where("id is not null").select("id", *same).join(own.where("id <> last").select(F.col("id").alias("a"), *same), same).where("id <> a").select("a", F.col("id").alias("b"))
+    keyed = own.select("id", "regs").mapInArrow(_keyed, "id long, key long")
     lead = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
-    pairs = keyed.join(lead, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    sketch = lambda side: own.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
+    keyed = cut(keyed.join(lead, "key").select("key", "id", "lead"))
+    pairs = cut(keyed.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
 
     def linked(pairs: DataFrame, sketched: bool) -> DataFrame:
+        ends = lambda p: p.select("a").unionAll(p.select("b")).distinct()
         if sketched:
+            some = maybe_in(own.select("id", "n", "regs"), "id", ends(pairs))
+            sketch = lambda side: some.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
             pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_filtered(similarity), "a long, b long")
-        full = lambda side: ids.select(F.col("id").alias(side), F.col("text").alias(f"t{side}"))
+        pairs = cut(pairs)
+        some = maybe_in(ids, "id", ends(pairs))
+        full = lambda side: some.select(F.col("id").alias(side), F.col("text").alias(f"t{side}"))
         texts = pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ta", "tb")
         return texts.mapInArrow(_confirmed(size, percent, 100), "a long, b long")
 
     first = cut(linked(pairs, True).unionAll(twins))
     label = cut(components(first))
-    classed = keyed.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    classed = cut(keyed.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
     mixed = classed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high")
     tiles = mixed.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
     member = classed.join(tiles, "key").select("key", "id", "label", "tiles", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("t"))
     member = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     member = member.select("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), (F.col("t") < F.col("o")).cast("int").alias("side"), "id", "label")
-    member = member.join(own.select("id", "n", "regs"), "id").select("key", "x", "y", "side", "id", "label", "n", "regs")
+    member = cut(member)
+    member = member.join(maybe_in(own.select("id", "n", "regs"), "id", member.select("id").distinct()), "id").select("key", "x", "y", "side", "id", "label", "n", "regs")
     crossed = member.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossed(similarity), "a long, b long").distinct()
     name = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"l{side}"))
     between = linked(crossed, False).join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
