@@ -1,4 +1,4 @@
-"""The corpus pipeline's stages."""
+"""The corpus pipeline's stages. All but the last return the columns of documents."""
 
 from __future__ import annotations
 
@@ -7,17 +7,56 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.frames import folder
+from foliant.llm import language
+from foliant.llm.decontaminate import contamination, judged
+from foliant.llm.frames import cut, folder, table
 from foliant.llm.minhash import near_duplicates
+from foliant.llm.mixing import mixed
+from foliant.llm.sharding import assign_shards
+
+REPETITION, BLOCK_TOKENS, SHARD_BYTES = 1.25, 20_000, 1 << 20
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone; rows without an id stay. gone is broadcast up to a million ids."""
+    gone = cut(gone.where("doc_id is not null").distinct())
+    few = gone.count() <= 1_000_000
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose language can't be told: no letters, or no language with half the posterior. lang stays as declared."""
+    rows = docs.select(*language.evidence(F.col("doc_id").cast("long"), F.col("text"), F.col("lang"), F.col("source")))
+    return _without(docs, language.identify(rows, language.fit(rows)).where("not accepted").select(F.col("key").alias("doc_id")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one whose id is smallest."""
-    kept = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the one whose id is smallest."""
+    return _without(docs, near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go of which a twentieth of the words or more are in benchmark windows."""
+    return _without(docs, judged(contamination(docs, table(spark, sf_dir, "benchmark"))).where("contaminated").select("doc_id"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come to their mixture weights: as many tokens as before, no source more than 1.25 times over."""
+    return mixed(docs, repetition=REPETITION, block_tokens=BLOCK_TOKENS).select(docs.columns)
+
+
+def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets its shard; no shard exceeds the byte limit unless one document does."""
+    return assign_shards(docs, SHARD_BYTES)
 
 
-STAGES = [("near duplicates", near_duplicate_stage)]
+STAGES = [
+    ("language ID", language_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
 
 def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
