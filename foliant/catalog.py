@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import ledger
+from foliant.plans import ledger, values
 
-MODULES = (ledger,)
+MODULES = (ledger, values)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
