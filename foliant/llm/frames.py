@@ -17,14 +17,16 @@ def folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it from there: executors may be lost afterwards.
 
+    narrow is for rows of a few numbers, as links and labels: an eighth as many tasks and files.
+
     A table, not checkpoint(): a checkpoint's plan carries the constraints of all steps before it, and in
     loops they grow without end.
     """
     path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(partitions(df.sparkSession) // 8 + 1) if narrow else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._foliant_path = path
     return out
@@ -61,11 +63,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def maybe_in(df: DataFrame, column: str, keys: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
     """Rows of df whose column may be among keys (one column, already cut): a one-hash Bloom filter.
 
-    The bitmap holds eight bits for each key, 16 MB at most, and is broadcast. Beyond that it lets more
+    The bitmap holds four bits or more for each key, 16 MB at most, and is broadcast. Keys may repeat. Beyond that it lets more
     rows through; what follows still has to join exactly.
     """
     key = keys.columns[0]
-    bits = max(1 << 15, min(most_bits, 1 << max(0, 8 * keys.count() - 1).bit_length()))
+    bits = max(1 << 15, min(most_bits, 1 << max(0, 4 * keys.count() - 1).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
     maps = keys.groupBy(F.shiftright(place(key), 15).alias("_bucket")).agg(F.bitmap_construct_agg((place(key) % (1 << 15))).alias("_map"))
     at = place(column) % (1 << 15)

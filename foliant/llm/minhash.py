@@ -204,31 +204,32 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     keyed = own.select("id", "regs").mapInArrow(_keyed, "id long, key long")
     lead = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last").select("key", "lead")
     keyed = cut(keyed.join(lead, "key").select("key", "id", "lead"))
-    pairs = cut(keyed.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    pairs = cut(keyed.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), narrow=True)
 
     def linked(pairs: DataFrame, sketched: bool) -> DataFrame:
-        ends = lambda p: p.select("a").unionAll(p.select("b")).distinct()
+        ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("a"))
         if sketched:
             some = maybe_in(own.select("id", "n", "regs"), "id", ends(pairs))
             sketch = lambda side: some.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
             pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_filtered(similarity), "a long, b long")
-        pairs = cut(pairs)
+            pairs = cut(pairs, narrow=True)
         some = maybe_in(ids, "id", ends(pairs))
         full = lambda side: some.select(F.col("id").alias(side), F.col("text").alias(f"t{side}"))
         texts = pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ta", "tb")
         return texts.mapInArrow(_confirmed(size, percent, 100), "a long, b long")
 
     first = cut(linked(pairs, True).unionAll(twins))
-    label = cut(components(first))
-    classed = cut(keyed.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+    label = cut(components(first), narrow=True)
+    classed = cut(keyed.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), narrow=True)
     mixed = classed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high")
     tiles = mixed.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
     member = classed.join(tiles, "key").select("key", "id", "label", "tiles", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("t"))
     member = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     member = member.select("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), (F.col("t") < F.col("o")).cast("int").alias("side"), "id", "label")
-    member = cut(member)
-    member = member.join(maybe_in(own.select("id", "n", "regs"), "id", member.select("id").distinct()), "id").select("key", "x", "y", "side", "id", "label", "n", "regs")
+    member = cut(member, narrow=True)
+    member = member.join(maybe_in(own.select("id", "n", "regs"), "id", member.select("id")), "id").select("key", "x", "y", "side", "id", "label", "n", "regs")
     crossed = member.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossed(similarity), "a long, b long").distinct()
+    crossed = cut(crossed, narrow=True)
     name = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"l{side}"))
     between = linked(crossed, False).join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     merged = components(between).select(F.col("id").alias("class"), F.col("component").alias("whole"))
