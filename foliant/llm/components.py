@@ -15,7 +15,7 @@ from foliant.llm.frames import cut, drop
 FEW = 20_000
 
 
-def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(v, to): the smallest id reachable over the links of all batches."""
     parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
     if not parts:
@@ -51,7 +51,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not n:
             break
         if n <= FEW:
-            to, new = todo.coalesce(1).mapInArrow(_finished, "v long, to long"), None
+            to, new = todo.coalesce(1).mapInArrow(reachable, "v long, to long"), None
         else:
             both = todo.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(todo.select(F.col("b").alias("v"), F.col("a").alias("u")))
             rank = lambda c: F.struct((F.xxhash64(F.col(c), F.lit(k)) if k % 2 else F.col(c)).alias("h"), F.col(c).alias("id"))

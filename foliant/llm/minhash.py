@@ -9,9 +9,11 @@ Estimates use the raw registers, corrected for registers that agree by accident,
 candidates six standard errors under the threshold; the rest is confirmed on full sets.
 
 Not all pairs of a bucket are made. Texts with equal sets are one node. First every node is held
-against the smallest node of each of its buckets; links found so give classes. Then only members of a
-bucket whose classes differ are compared, in tiles of bounded size, so that no link between different
-classes is lost whatever the size of the bucket.
+against the smallest node of each of its buckets; links found so give classes. Then members of a bucket
+whose classes differ are compared by sketches, in tiles of bounded size. Tiles return no pairs but, for
+each node, the smallest one that it reaches; nodes so tied are a bundle, and whole sets of a bundle's
+members of different classes are compared, again in tiles. So no link between different classes is lost
+whatever the size of a bucket, and no step makes a row for each pair.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrays import mix, shingles, text_bytes, word_rows
-from foliant.llm.components import components
+from foliant.llm.components import reachable, components
 from foliant.llm.frames import bounded, cut, maybe_in
 
 REGISTERS, ROWS, MANTISSA, REST = 128, 4, 10, 57
 BANDS = REGISTERS // ROWS
-TILE = 1024
+TILE, BUNDLE = 1024, 384
 _LOWEST = (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(REST)).astype(np.uint64)
 _DONORS = (mix(np.arange(1, REGISTERS * 96 + 1, dtype=np.uint64)) >> np.uint64(REST)).astype(np.int64).reshape(96, REGISTERS)
 _BAND = mix(np.arange(1000, 1000 + REGISTERS, dtype=np.uint64)) | np.uint64(1)
@@ -123,69 +125,128 @@ def _filtered(similarity: float):
     return run
 
 
-def _confirmed(size: int, numerator: int, denominator: int):
-    def sets(column: pa.Array) -> Iterator[np.ndarray]:
-        for i, j, bound, value in word_rows(column):
-            for r in range(j - i):
-                yield shingles(value[bound[r] : bound[r + 1]], size)
+def _sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    for i, j, bound, value in word_rows(column):
+        for r in range(j - i):
+            yield shingles(value[bound[r] : bound[r + 1]], size)
 
+
+def _confirmed(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(sets(batch.column(2)), sets(batch.column(3)), strict=True):
+            for x, y in zip(_sets(batch.column(2), size), _sets(batch.column(3), size), strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(denominator * both >= numerator * (len(x) + len(y) - both) and both > 0)
+                ok.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
             if any(ok):
                 yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of complete groups, from batches sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys])
+        new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        if held and any(held[-1].column(k)[held[-1].num_rows - 1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            new = np.concatenate([[0], new])
+        if not len(new):
+            held.append(batch)
+            continue
+        held.append(batch.slice(0, int(new[-1])))
+        yield pa.Table.from_batches(held).combine_chunks()
+        held = [batch.slice(int(new[-1]))]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch | None:
+    """Links (a, b) as links of each id to the smallest that it reaches over them: one row an id, not one a pair."""
+    found = list(reachable(iter([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])]))) if len(a) else []
+    if not found:
+        return None
+    moved = np.flatnonzero(found[0].column(0).to_numpy() != found[0].column(1).to_numpy())
+    return pa.RecordBatch.from_arrays([found[0].column(1), found[0].column(0)], names=["a", "b"]).take(pa.array(moved))
+
+
+def _groups(table: pa.Table, keys: list[str]) -> np.ndarray:
+    key = np.stack([table.column(k).to_numpy() for k in keys])
+    return np.cumsum(np.concatenate([[0], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+
+
 def _crossed(similarity: float):
-    """Pairs of one tile whose classes differ and whose sketches allow a link. Rows come sorted by tile."""
-
-    def pairs(batch: pa.Table) -> pa.RecordBatch | None:
-        ids, label, n = (batch.column(k).to_numpy() for k in ("id", "label", "n"))
-        _, tile = np.unique(np.stack([batch.column(k).to_numpy() for k in ("key", "x", "y")]), axis=1, return_inverse=True)
-        lone = batch.column("x").to_numpy() == batch.column("y").to_numpy()
-        side, grid, a, b = batch.column("side").to_numpy(), _grid(batch.column("regs")), [], []
-        tile = tile.reshape(-1)
-        for lag in range(1, int(np.bincount(tile).max())):
-            at = np.flatnonzero(tile[lag:] == tile[:-lag])
-            if not len(at):
-                break
-            at = at[(label[at] != label[at + lag]) & (lone[at] | (side[at] != side[at + lag]))]
-            for part in np.array_split(at, len(at) // 65536 + 1):
-                part = part[plausible(grid[part], grid[part + lag], n[part], n[part + lag], similarity)]
-                a.append(ids[part])
-                b.append(ids[part + lag])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"]) if len(a) else None
+    """Of each tile, links that join members whose classes differ and whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.stack([batch.column(k).to_numpy() for k in ("key", "x", "y")])
-            new = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            if held:
-                last = held[-1].slice(held[-1].num_rows - 1)
-                if any(last.column(c)[0].as_py() != batch.column(c)[0].as_py() for c in ("key", "x", "y")):
-                    new = np.concatenate([[0], new])
-            if not len(new):
-                held.append(batch)
-                continue
-            held.append(batch.slice(0, int(new[-1])))
-            if (out := pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
+        for table in whole_groups(batches, ["key", "x", "y"]):
+            ids, label, n, side = (table.column(k).to_numpy() for k in ("id", "label", "n", "side"))
+            tile, lone = _groups(table, ["key", "x", "y"]), table.column("x").to_numpy() == table.column("y").to_numpy()
+            grid, a, b = _grid(table.column("regs")), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for lag in range(1, int(np.bincount(tile).max())):
+                at = np.flatnonzero(tile[lag:] == tile[:-lag])
+                at = at[(label[at] != label[at + lag]) & (lone[at] | (side[at] != side[at + lag]))]
+                for part in np.array_split(at, len(at) // 65536 + 1):
+                    part = part[plausible(grid[part], grid[part + lag], n[part], n[part + lag], similarity)]
+                    a.append(ids[part])
+                    b.append(ids[part + lag])
+            if (out := _forest(np.concatenate(a), np.concatenate(b))) is not None:
                 yield out
-            held = [batch.slice(int(new[-1]))]
-        if held and (out := pairs(pa.Table.from_batches(held).combine_chunks())) is not None:
-            yield out
 
     return run
 
 
+def shared_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of blocks of the incidence matrix."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    value, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row, often = np.repeat(np.arange(n), sizes), np.bincount(column, minlength=len(value))
+    number = np.cumsum(often > 1) - 1
+    keep = often[column] > 1
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((n, n), dtype=np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        low, high = np.searchsorted(column, [at, at + width])
+        block = np.zeros((n, width), dtype=np.float32)
+        block[row[low:high], column[low:high] - at] = 1
+        out += block @ block.T
+    return out
+
+
+def _held(size: int, percent: int):
+    """Of each tile of a bundle, confirmed links between members whose classes differ, on whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["bundle", "x", "y"]):
+            ids, label, side = (table.column(k).to_numpy() for k in ("id", "label", "side"))
+            lone, tile = table.column("x").to_numpy() == table.column("y").to_numpy(), _groups(table, ["bundle", "x", "y"])
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for low, high in zip(edges := np.flatnonzero(np.diff(tile, prepend=-1)), [*edges[1:], len(tile)], strict=True):
+                sets = list(_sets(table.column("text").slice(low, high - low), size))
+                n, both = np.array([len(s) for s in sets]), shared_counts(sets)
+                ok = (100 * both >= percent * (n[:, None] + n - both)) & (both > 0) & (label[low:high, None] < label[low:high])
+                ok &= lone[low] | (side[low:high, None] != side[low:high])
+                i, j = np.nonzero(ok)
+                a.append(ids[low + i])
+                b.append(ids[low + j])
+            if (out := _forest(np.concatenate(a), np.concatenate(b))) is not None:
+                yield out
+
+    return run
+
+
+def _tiled(members: DataFrame, key: str, size: int) -> DataFrame:
+    """Members of groups (key, id, ...) dealt to tiles: pairs x <= y of parts of their group with about `size` rows each."""
+    tiles = members.groupBy(key).agg(F.ceil(F.count("*") / size).cast("int").alias("_tiles"))
+    rows = members.join(tiles, key).withColumn("_t", F.pmod(F.xxhash64("id"), F.col("_tiles")).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    return rows.withColumns({"x": F.least("_t", "_o"), "y": F.greatest("_t", "_o"), "side": (F.col("_t") < F.col("_o")).cast("int")}).drop("_tiles", "_t", "_o")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
 
@@ -206,32 +267,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     keyed = cut(keyed.join(lead, "key").select("key", "id", "lead"))
     pairs = cut(keyed.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), narrow=True)
 
-    def linked(pairs: DataFrame, sketched: bool) -> DataFrame:
-        ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("a"))
-        if sketched:
-            some = maybe_in(own.select("id", "n", "regs"), "id", ends(pairs))
-            sketch = lambda side: some.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
-            pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_filtered(similarity), "a long, b long")
-            pairs = cut(pairs, narrow=True)
-        some = maybe_in(ids, "id", ends(pairs))
-        full = lambda side: some.select(F.col("id").alias(side), F.col("text").alias(f"t{side}"))
-        texts = pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "ta", "tb")
-        return texts.mapInArrow(_confirmed(size, percent, 100), "a long, b long")
-
-    first = cut(linked(pairs, True).unionAll(twins))
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("a"))
+    some = maybe_in(own.select("id", "n", "regs"), "id", ends(pairs))
+    sketch = lambda side: some.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
+    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_filtered(similarity), "a long, b long")
+    pairs = cut(pairs, narrow=True)
+    some = maybe_in(ids, "id", ends(pairs))
+    text = lambda side: some.select(F.col("id").alias(side), F.col("text").alias(f"t{side}"))
+    texts = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb")
+    first = cut(texts.mapInArrow(_confirmed(size, percent), "a long, b long").unionAll(twins))
     label = cut(components(first), narrow=True)
     classed = cut(keyed.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), narrow=True)
-    mixed = classed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).where("low <> high")
-    tiles = mixed.select("key", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    member = classed.join(tiles, "key").select("key", "id", "label", "tiles", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int").alias("t"))
-    member = member.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    member = member.select("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), (F.col("t") < F.col("o")).cast("int").alias("side"), "id", "label")
-    member = cut(member, narrow=True)
-    member = member.join(maybe_in(own.select("id", "n", "regs"), "id", member.select("id")), "id").select("key", "x", "y", "side", "id", "label", "n", "regs")
-    crossed = member.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossed(similarity), "a long, b long").distinct()
-    crossed = cut(crossed, narrow=True)
+    mixed = classed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    member = cut(_tiled(classed.join(mixed, "key", "left_semi"), "key", TILE), narrow=True)
+    member = member.join(maybe_in(own.select("id", "n", "regs"), "id", member.select("id")), "id")
+    crossed = member.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossed(similarity), "a long, b long")
+    bundle = components(crossed).withColumnRenamed("component", "bundle")
+    bundle = cut(bundle.join(label, "id", "left").select("bundle", "id", F.coalesce("component", "id").alias("label")), narrow=True)
+    full = maybe_in(ids, "id", bundle.select("id"))
+    held = _tiled(bundle, "bundle", BUNDLE).join(full, "id").select("bundle", "x", "y", "side", "id", "label", "text")
+    between = held.repartition("bundle", "x", "y").sortWithinPartitions("bundle", "x", "y").mapInArrow(_held(size, percent), "a long, b long")
     name = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"l{side}"))
-    between = linked(crossed, False).join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    between = between.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     merged = components(between).select(F.col("id").alias("class"), F.col("component").alias("whole"))
     out = sk.select("id", "n").join(label, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     out = out.join(merged, "class", "left").withColumn("component", F.coalesce("whole", "class"))
