@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import ledger, values
+from foliant.plans import fields, ledger, stock, values
 
-MODULES = (ledger, values)
+MODULES = (ledger, values, stock, fields)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,9 +31,9 @@ def stock_rule(name: Column) -> Column:
 ROLES = ("opening", "receipt", "issue", "total", "closing", "opening_value", "closing_value", "product", "code", "pack", "batch", "expiry", "rate")
 
 
-def stock_roles(headers: Column) -> Column:
-    """A struct with each role's column, from 0: the last column of a role wins. The product falls back to the first column, or the second where the first is the code."""
-    rules = F.transform(headers, stock_rule)
+def stock_roles(headers: Column, rules: Column | None = None) -> Column:
+    """A struct with each role's column, from 0: the last column of a role wins. The product falls back to the first column, or the second where the first is the code. rules: stock_rule of each header, where a column holds them already."""
+    rules = F.transform(headers, stock_rule) if rules is None else rules
     last = lambda role: F.array_max(F.transform(rules, lambda r, i: F.when(r == role, i)))
     fields = [last(r).alias(r) for r in ROLES if r != "product"]
     fallback = F.when(F.size(headers) == 0, F.lit(None)).when((last("code") == 0) & (F.size(headers) > 1), 1).otherwise(0)

@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliant.functions.cells import audit_value, lenient_number, row_number_value
-from foliant.functions.roles import stock_roles
+from foliant.functions.roles import ROLES, stock_roles, stock_rule
 
 QUANTITIES = ("opening", "receipt", "issue", "closing")
 
 
 def stock_rows(tables: DataFrame, key: str = "table_id") -> DataFrame:
     """A row for each row of each table (columns, rows): role values, verdict, discrepancy. row_index counts from 1."""
-    role = tables.select(key, "columns", stock_roles(F.col("columns")).alias("role"), F.posexplode("rows").alias("i", "cells"))
+    found = stock_roles(F.col("columns"), F.col("rules"))
+    role = tables.select(key, "columns", "rows", F.transform("columns", stock_rule).alias("rules"))
+    role = role.select(key, "columns", "rows", F.struct(*(found[r].alias(r) for r in ROLES)).alias("role"))
+    role = role.select(key, "columns", "role", F.posexplode("rows").alias("i", "cells"))
     value = lambda r: lenient_number(F.get("cells", F.col(f"role.{r}")))
     rows = role.select(key, (F.col("i") + 1).alias("row_index"), "cells", F.get("cells", F.col("role.product")).alias("product"), *(value(r).alias(r) for r in (*QUANTITIES, "total", "rate")), F.size("columns").alias("width"), F.col("role.closing").alias("closing_column"))
     return verdicts(rows)

@@ -99,7 +99,7 @@ QUERIES = {
     "packing_extract": lambda s, d: _descriptions(s, d).select("p_partkey", cells.packing(F.col("description")).alias("packing")),
     "absent_markers": lambda s, d: _cells(s, d).select("l_orderkey", "l_linenumber", cells.present(F.col("cell")).alias("value")),
     "confusion_fixes": lambda s, d: _cells(s, d).select("l_orderkey", "l_linenumber", cells.numeric_confusions(F.concat(F.col("l_linenumber").cast("string"), F.lit("O."), F.lit("5")), F.lit(True)).alias("n"), cells.packing_confusions(F.concat(F.col("l_linenumber").cast("string"), F.lit(" x "), F.lit("10"))).alias("p")),
-    "stock_roles": lambda s, d: _headers(s, d).select("p_partkey", *(roles.stock_roles(F.col("headers"))[r].alias(r) for r in ("opening", "receipt", "issue", "closing", "closing_value", "product", "total"))),
+    "stock_roles": lambda s, d: _headers(s, d).withColumn("rules", F.transform("headers", roles.stock_rule)).select("p_partkey", *(roles.stock_roles(F.col("headers"), F.col("rules"))[r].alias(r) for r in ("opening", "receipt", "issue", "closing", "closing_value", "product", "total"))),
     "invoice_roles": lambda s, d: _headers(s, d).select("p_partkey", *(roles.invoice_roles(F.col("headers"))[r].alias(r) for r in ("description", "quantity", "unit_price", "amount"))),
     "row_width_enforce": lambda s, d: read(s, d, "part").select("p_partkey", F.array_join(roles.fitted(F.split("p_name", " "), F.lit(3)), "|").alias("row")),
     "billing_align": lambda s, d: read(s, d, "part").select("p_partkey", roles.billing_aligned(F.array(F.lit("Item"), F.lit("OpenQ"), F.lit("InQty")), F.array(F.split("p_name", " "), F.array(F.lit(" a "), F.lit("b"), F.lit("c")))).alias("x")).select("p_partkey", F.array_join(F.flatten("x.rows"), "|").alias("cells"), F.size("x.mismatches").alias("mismatches")),
