@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import fields, ledger, stock, tables, values
+from foliant.plans import extraction, fields, ledger, stock, tables, values
 
-MODULES = (ledger, values, stock, fields, tables)
+MODULES = (ledger, values, stock, fields, tables, extraction)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
