@@ -149,7 +149,8 @@ def header_row(rows: DataFrame, key: str, order: str = "row_idx", cells: str = "
 
 def delimiter(rows: DataFrame, key: str, line: str, order: str, first: int = 20) -> DataFrame:
     """(key, delimiter, header_idx): the first of comma, tab, pipe and semicolon that makes three fields of a line; the header is the first line with most fields."""
-    sizes = [(d, F.size(F.split(line, p))) for d, p in ((",", ","), ("\t", "\t"), ("|", r"\|"), (";", ";"))]
+    bare = F.regexp_replace(F.col(line), '"[^"]*"', "")
+    sizes = [(d, F.size(F.split(bare, p))) for d, p in ((",", ","), ("\t", "\t"), ("|", r"\|"), (";", ";"))]
     each = rows.where(F.col(order) < first).groupBy(key).agg(*(F.max(n).alias(f"n{k}") for k, (_, n) in enumerate(sizes)), *(F.max_by(order, F.struct(n, -F.col(order))).alias(f"h{k}") for k, (_, n) in enumerate(sizes)))
     pick = lambda what: F.coalesce(*(F.when(F.col(f"n{k}") >= 3, what(k)) for k in range(4)))
     return each.select(key, pick(lambda k: F.lit(sizes[k][0])).alias("delimiter"), pick(lambda k: F.col(f"h{k}")).alias("header_idx"))
