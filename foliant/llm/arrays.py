@@ -14,7 +14,7 @@ import pyarrow as pa
 _B = 0x9E3779B97F4A7C15 | 1
 _BASE = 0xD1342543DE82EF95
 _INV = pow(_BASE, -1, 1 << 64)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 

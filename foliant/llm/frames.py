@@ -41,7 +41,7 @@ def drop(*frames: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded(spark: SparkSession, rows: int = 4096, size: str = "8m") -> None:
+def bounded(spark: SparkSession, rows: int = 4096, size: str = "4m") -> None:
     """Bound the Arrow batches that Python gets, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
