@@ -57,6 +57,16 @@ def _items(s, d):
     return E.line_items(tables(s, d), "table_id")
 
 
+def _odd_tables(s, d):
+    """Ten parts to a table, with a merged total, a row without values, a garbled figure and leading zeros at known places."""
+    k = F.col("p_partkey") % 10
+    name = F.when(k == 3, F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit(" TAB TOTAL"))).when(k.isin(6, 8, 9), "Same").otherwise(F.concat(F.lit("P"), F.col("p_partkey").cast("string")))
+    qty = F.when(k == 5, "").when(k == 7, "12ab").when(k == 2, "007").otherwise(F.col("p_size").cast("string"))
+    rows = F.sort_array(F.collect_list(F.struct("p_partkey", F.array(name, qty).alias("cells"))))
+    g = read(s, d, "part").where("p_partkey >= 10").groupBy(F.floor(F.col("p_partkey") / 10).alias("table_id")).agg(F.count("*").alias("n"), F.transform(rows, lambda r: r["cells"]).alias("rows"))
+    return g.where("n = 10").select("table_id", F.array(F.lit("Item"), F.lit("Qty")).alias("columns"), "rows")
+
+
 def _hits(s, d):
     return read(s, d, "events").select((F.col("user_id") % 50).cast("string").alias("client"), "ts", "event_id")
 
@@ -79,7 +89,7 @@ QUERIES = {
     "field_stability": lambda s, d: Q.stability(read(s, d, "events").select(F.col("event_type").alias("field"), F.col("user_id").alias("run"), (F.col("user_id") % 3).cast("string").alias("value"), (F.col("value") > 10).alias("ok"))),
     "latency_percentiles": lambda s, d: Q.latency(ledger(s, d), "document_type", "processing_time").drop("per_hour"),
     "weighted_recall": lambda s, d: Q.weighted(read(s, d, "lineitem"), "l_returnflag", "l_discount", "l_linenumber"),
-    "anomaly_rules": lambda s, d: Q.anomalies(tables(s, d), "table_id"),
+    "anomaly_rules": lambda s, d: Q.anomalies(_odd_tables(s, d), "table_id"),
     "match_modes": lambda s, d: read(s, d, "nation").select("n_nationkey", Q.matched(F.element_at(F.array(*(F.lit(m) for m in ("exact", "exact_ci", "digits", "contains", "contains_all"))), (F.col("n_nationkey") % 5 + 1).cast("int")), F.array(F.lower("n_name")), F.col("n_name")).alias("ok")),
     "edit_rate": lambda s, d: read(s, d, "part").select("p_partkey", Q.edit_rate(F.col("p_name"), F.col("p_type")).alias("rate")),
     "envelope_fields": lambda s, d: E.normalised(_entries(s, d), "c_custkey", ["name", "address"]),
@@ -111,6 +121,10 @@ SQL = {
     "latency_percentiles": f"""WITH {LEDGER_SQL}, r AS (SELECT document_type, processing_time AS s, row_number() OVER (PARTITION BY document_type ORDER BY processing_time) AS r, (count(*) OVER (PARTITION BY document_type) + 1) * 0.9::DOUBLE AS ra FROM ledger)
       SELECT document_type, count(*) AS n, min(s) AS least, round(median(s), 4) AS median, round(max(s) FILTER (r = floor(ra)) + (max(s) FILTER (r = floor(ra) + 1) - max(s) FILTER (r = floor(ra))) * any_value(ra - floor(ra)), 4) AS p90, max(s) AS most FROM r GROUP BY 1""",
     "weighted_recall": "SELECT l_returnflag, round(sum(l_discount * l_linenumber) / sum(l_linenumber), 4) AS l_discount FROM lineitem GROUP BY 1",
+    "anomaly_rules": """WITH t AS (SELECT p_partkey // 10 AS table_id FROM part WHERE p_partkey >= 10 GROUP BY 1 HAVING count(*) = 10) SELECT CAST(table_id AS BIGINT) AS table_id, rule, CAST(place AS BIGINT) AS place
+      FROM t, (VALUES ('merged_total', 3), ('no_values', 5), ('leading_zeros', 2001), ('letters_in_figure', 7001), ('repeated_description', 6)) AS r(rule, place)""",
+    "logical_rows": """SELECT CAST(p_partkey // 10 AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) - 1 AS INT) AS row_idx, CASE WHEN p_partkey % 10 = 8 THEN 'TOTAL' ELSE 'PRODUCT' END AS row_type,
+      CASE p_partkey % 10 WHEN 8 THEN 'Total|1|2' WHEN 9 THEN 'extra||' ELSE 'P' || p_partkey || CASE WHEN p_partkey % 10 = 3 THEN ' extra' ELSE '' END || '|' || p_size || '|7' END AS cells FROM part WHERE p_partkey % 10 <> 4""",
     "match_modes": "SELECT n_nationkey, n_nationkey % 5 <> 0 OR n_name = lower(n_name) AS ok FROM nation",
     "edit_rate": "SELECT p_partkey, round(1 - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type), 1), 4) AS rate FROM part",
     "envelope_fields": """SELECT c_custkey, 'name' AS path, c_name AS value, round(c_custkey % 100 / 100, 2) AS confidence, 0 AS ord, c_custkey % 100 < 60 AS review FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment, .95, 2, false FROM customer
