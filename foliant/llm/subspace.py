@@ -49,7 +49,7 @@ class Blocks:
         self.edges = np.linspace(0, size, min(blocks, size) + 1).astype(int)
         self.count, self.threshold = len(self.edges) - 1, threshold
         self.budget = np.array([(2 - 2 * threshold) * (self.edges[b + 1] - self.edges[b]) / size for b in range(self.count)]) + SLACK
-        cells = int(min(CELLS, max(1, n // 1024), len(sample)))
+        cells = int(min(CELLS, max(1, n**0.5 // 16), len(sample)))
         turned = unit(sample) @ self.turn
         self.centres = [self._centres(self.of(turned, b), cells, rng) for b in range(self.count)]
 
@@ -151,25 +151,31 @@ def _linked(shared):
         isx, isy = (group.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in "xy")
         v = unit(_matrix(group.column("vec")))
         turned = v @ blocks.turn
-        y = np.flatnonzero(isy)
+        y, seekers = np.flatnonzero(isy), np.flatnonzero(isx)
         a_parts, b_parts = [], []
-        seekers = np.flatnonzero(isx)
+        own = blocks.of(turned, block)
+        half, one = (own * own).sum(axis=1, keepdims=True) / 2, np.ones((len(ids), 1))
+        left, right = np.hstack([own, -half, one]).astype(np.float32), np.hstack([own, one, -half]).astype(np.float32)[y].T.copy()
+        reach = np.float32(-blocks.budget[block] / 2 - 1e-5)
         for part in np.array_split(seekers, len(seekers) // 512 + 1):
-            near = blocks._squares(blocks.of(turned[part], block), blocks.of(turned[y], block)) <= blocks.budget[block]
-            near &= ids[part][:, None] != ids[y]
-            if near.sum() > 0.02 * near.size:
+            near = left[part] @ right >= reach
+            if np.count_nonzero(near) > 0.02 * near.size:
                 near &= v[part] @ v[y].T >= blocks.threshold
-                for b in range(block):
-                    near &= blocks._squares(blocks.of(turned[part], b), blocks.of(turned[y], b)) > blocks.budget[b]
+                for b in range(block + 1):
+                    within = blocks._squares(blocks.of(turned[part], b), blocks.of(turned[y], b)) <= blocks.budget[b]
+                    near &= within if b == block else ~within
                 i, j = np.nonzero(near)
             else:
-                i, j = np.nonzero(near)
+                i, j = np.divmod(np.flatnonzero(near), near.shape[1])
                 ok = (v[part[i]] * v[y[j]]).sum(axis=1) >= blocks.threshold
                 i, j = i[ok], j[ok]
-                for b in range(block):
+                for b in range(block + 1):
                     d = blocks.of(turned[part[i]], b) - blocks.of(turned[y[j]], b)
-                    ok = (d * d).sum(axis=1) > blocks.budget[b]
+                    within = (d * d).sum(axis=1) <= blocks.budget[b]
+                    ok = within if b == block else ~within
                     i, j = i[ok], j[ok]
+            ok = ids[part[i]] != ids[y[j]]
+            i, j = i[ok], j[ok]
             a_parts.append(part[i])
             b_parts.append(y[j])
         a, b = np.concatenate(a_parts), np.concatenate(b_parts)
