@@ -152,7 +152,8 @@ _KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("date", r"(?<![0-9])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9])", date),
     ("ssn", r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])", ssn),
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", ipv4),
-    ("card", r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])", card),
+    ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", card),
+    ("card", r"(?<![0-9])[0-9]{4}([ \-])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{6}\1[0-9]{5})(?![0-9])", card),
     ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?\(?[2-9][0-9]{2}\)?[ .\-]?[2-9][0-9]{2}[ .\-]?[0-9]{4}(?![0-9A-Za-z])", phone),
 ]
 _FOUND = [(name, re.compile(pattern), how) for name, pattern, how in _KINDS]

@@ -104,4 +104,6 @@ def test_pseudonyms():
     text = "from 10.1.2.3 to 10.1.2.3, a.b@x.org, 2024-02-29"
     new, kinds = pseudonymised(text, KEY)
     assert kinds == ["ip", "ip", "email", "date"] and len(set(re.findall(r"\d+\.\d+\.\d+\.\d+", new))) == 1 and "@x.org" in new
+    new, kinds = pseudonymised(f"call +1 (578) 555-6437 {whole} 17.252.227.210 or {whole[:4]}-{whole[4:8]}-{whole[8:12]}-{whole[12:]}", KEY)
+    assert kinds == ["phone", "card", "ip", "card"] and re.sub("-", "", new.split()[-1]) in new.split()[-4:] and whole not in new
     assert pseudonymised(None, KEY) == (None, []) and pseudonymised("", KEY) == ("", [])
