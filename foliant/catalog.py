@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import decisions, extraction, fields, ledger, stock, tables, values
+from foliant.plans import decisions, extraction, fields, ledger, sanitise, stock, tables, values
 
-MODULES = (ledger, values, stock, fields, tables, extraction, decisions)
+MODULES = (ledger, values, stock, fields, tables, extraction, decisions, sanitise)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
