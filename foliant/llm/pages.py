@@ -25,7 +25,7 @@ from foliant.llm.frames import bounded, cut
 _MARKUP = re.compile(r"""<(?:!--|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[!?][^>]*>)""")
 _LOOSE = re.compile(r"</?[a-zA-Z][^<]*$")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_TOKEN = re.compile(r"[a-z]+")
+_TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 # Names of HTML elements by what they do.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "svg", "math", "object", "canvas"}
@@ -36,17 +36,25 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 SIDE = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "input", "datalist"}
 CONTENT = {"article", "main"}
 SIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
-SIDE_WORDS = {"ad", "ads", "adv", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "dropdown", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "pager", "pagination", "popup", "promo", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets"}
+SIDE_WORDS = {"ad", "ads", "adv", "advert", "advertisement", "advertising", "adverts", "alert", "alerts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "disclaimer", "dropdown", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "recommended", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets"}
+
+SIDE_STARTS = ("advert", "comment", "cookie", "footer", "navbar", "newsletter", "sidebar", "sponsor")
 
 KEEP, DROP, OPEN = 1, 0, 2
 
 
+def _aside(name: str) -> bool:
+    """Whether a class or id, in words or in camel case, names something beside the content."""
+    words = [w.lower() for w in _TOKEN.findall(name)]
+    return any(w in SIDE_WORDS or w.startswith(SIDE_STARTS) for w in words)
+
+
 @functools.lru_cache(maxsize=1 << 16)
 def _role(tag: str, attributes: str) -> tuple[int, str]:
     """What an element's own markup says of it, and its label in paths."""
     own = {m[0].lower(): entities.unescape(m[1] or m[2] or m[3]) for m in _ATTRIBUTE.findall(attributes)} if attributes.strip(" /") else {}
-    classes = own.get("class", "").lower()
-    label = tag + "".join(f".{re.sub('[0-9]+', '9', c)}" for c in classes.split()[:1])
+    classes = own.get("class", "")
+    label = tag + "".join(f".{re.sub('[0-9]+', '9', c.lower())}" for c in classes.split()[:1])
     role = own.get("role", "").lower()
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or "display:none" in own.get("style", "").replace(" ", "").lower():
         return DROP, label
@@ -54,7 +62,7 @@ def _role(tag: str, attributes: str) -> tuple[int, str]:
         return KEEP, label
     if tag in SIDE or role in SIDE_ROLES:
         return DROP, label
-    if tag not in ("html", "body") and SIDE_WORDS & {*_TOKEN.findall(classes), *_TOKEN.findall(own.get("id", "").lower())}:
+    if tag not in ("html", "body") and (_aside(classes) or _aside(own.get("id", ""))):
         return DROP, label
     return OPEN, label
 
