@@ -33,21 +33,22 @@ def rate_limited(hits: DataFrame, limit: int, window: float = 60.0) -> DataFrame
     return hits.groupBy("client").applyInPandas(fold, f"{kinds}, allowed boolean")
 
 
-def rate_limited_stream(hits: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """The same over a stream of (client, ts): the log of each client's admitted hits is its state, and expires."""
+def rate_limited_stream(hits: DataFrame, limit: int, window: float = 60.0, late: str = "10 seconds") -> DataFrame:
+    """The same over a stream of (client, ts): the log of each client's admitted hits is its state, which goes once the watermark passes the window. Rows must come in order within a client."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         own = pd.concat(list(frames)).sort_values("ts")
-        log = list(state.get[0]) if state.exists else []
-        allowed, log = _admit((own["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist(), log, limit, window)
+        seconds = (own["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
+        allowed, log = _admit(seconds, list(state.get[0]) if state.exists else [], limit, window)
         state.update((log,))
-        state.setTimeoutDuration(int(window * 2000))
+        state.setTimeoutTimestamp(max(int((seconds[-1] + window) * 1000), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"client": key[0], "ts": own["ts"], "allowed": allowed})
 
-    return hits.select("client", "ts").groupBy("client").applyInPandasWithState(fold, "client string, ts timestamp_ntz, allowed boolean", "log array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = hits.select("client", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("client").applyInPandasWithState(fold, "client string, ts timestamp, allowed boolean", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def recovered(records: DataFrame, most: int = 3) -> DataFrame:
