@@ -1,11 +1,11 @@
 """Operator 5: the main text of pages, by a site style tree.
 
-Each page's markup is parsed once into blocks of text with the path of their elements. Where the markup
-itself says what a branch is (an article or main element; navigation, footers, forms, comments, hidden
-elements and the like), that decides. For all other branches the pages of a host are merged into one
-style tree: a branch's content importance is one less the mean entropy of its texts over the host's
-pages, its presentation importance the entropy of its parent's sequences of children, and branches of
-low composite importance go from every page of the host.
+Each page's markup is parsed once into blocks of text with the path of their elements, and the pages of a
+host, all their blocks, are merged into one style tree: a branch's content importance is one less the mean
+entropy of its texts over the host's pages, its presentation importance the entropy of its parent's
+sequences of children. What the markup says of a block (an article or main element; navigation, footers,
+forms, comments, hidden elements and the like) is a prior that is added to its branch's importance, and
+blocks whose sum is low go. Pages of a host that are copies count once.
 """
 
 from __future__ import annotations
@@ -67,12 +67,12 @@ def _role(tag: str, attributes: str) -> tuple[int, str]:
     return OPEN, label
 
 
-def blocks(html: str) -> list[tuple[str, str, int]]:
-    """(path, text, role) of a page's blocks of text in page order."""
-    out: list[tuple[str, str, int]] = []
+def blocks(html: str) -> list[tuple[str, str, int, int]]:
+    """(path, text, role, number of the outermost content element so far) of a page's blocks of text in page order."""
+    out: list[tuple[str, str, int, int]] = []
     stack: list[tuple[str, int, str]] = []
     held: list[str] = []
-    roots = sides = 0
+    roots = sides = entered = 0
     at, end = 0, len(html)
 
     def flush() -> None:
@@ -81,7 +81,7 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
             held.clear()
             if text:
                 role = DROP if sides else KEEP if roots else OPEN
-                out.append((">".join(s[2] for s in stack[-8:] if s[0] not in INLINE), text, role))
+                out.append((">".join(s[2] for s in stack[-8:] if s[0] not in INLINE), text, role, entered))
 
     def pop(to: int) -> None:
         nonlocal roots, sides
@@ -155,6 +155,7 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
             if tag == "header" and not roots:
                 role = DROP
         stack.append((tag, role, label))
+        entered += role == KEEP and not roots
         roots += role == KEEP
         sides += role == DROP
     flush()
@@ -162,71 +163,93 @@ def blocks(html: str) -> list[tuple[str, str, int]]:
 
 
 def page_blocks(html: str | None) -> list[tuple[str, str, int]]:
-    """blocks(), where a page with content elements keeps nothing outside of them."""
-    found = blocks(html or "")
-    return [(p, t, DROP if r == OPEN else r) for p, t, r in found] if any(r == KEEP for _, _, r in found) else found
+    """(path, text, role) of blocks()."""
+    return [(path, text, role) for path, text, role, _ in blocks(html or "")]
 
 
-_PARSED = "page long, url string, host string, blocks array<struct<path: string, parent: string, style: string, mark: binary, text: string, role: int>>"
-_BLOCK = pa.struct([("path", pa.string()), ("parent", pa.string()), ("style", pa.string()), ("mark", pa.binary()), ("text", pa.string()), ("role", pa.int32())])
+def priors(found: list[tuple[str, str, int, int]]) -> list[float]:
+    """What the markup of a page's blocks() adds to the importance of their branches.
+
+    Text beside content elements loses by their share of the text; several content elements with little of
+    it (teasers) lose, too. On a page of declared side branches alone, these lose less.
+    """
+    size = dict.fromkeys((KEEP, DROP, OPEN), 0)
+    for _, text, role, _ in found:
+        size[role] += len(text)
+    share = min(1.0, 2 * size[KEEP] / max(size[KEEP] + size[OPEN], 1))
+    several = len({entered for _, _, role, entered in found if role == KEEP}) > 1
+    added = {KEEP: 0.2 - (1.2 * (1 - share) if several else 0.0), OPEN: -0.8 * share, DROP: -0.7 if size[KEEP] + size[OPEN] else -0.5}
+    return [added[role] for _, _, role, _ in found]
+
+
+_PARSED = "page long, url string, host string, print long, blocks array<struct<path: long, prior: double, text: string>>, nodes array<struct<path: long, parent: long, mark: long, new: int>>, styles array<struct<parent: long, style: long>>"
+_BLOCK = pa.struct([("path", pa.int64()), ("prior", pa.float64()), ("text", pa.string())])
+_NODE = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("mark", pa.int64()), ("new", pa.int32())])
+_STYLE = pa.struct([("parent", pa.int64()), ("style", pa.int64())])
+
+
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+_place = functools.lru_cache(maxsize=1 << 16)(_digest)
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
-            part, rows = batch.slice(at, 200), []
+            part, prints, rows, nodes, styles = batch.slice(at, 200), [], [], [], []
             for html in part.column(3).to_pylist():
-                found, styles = page_blocks(html), {}
-                for path, _, role in found:
-                    if role == OPEN:
-                        parent, _, own = path.rpartition(">")
-                        styles.setdefault(parent, []).append(own)
-                row = []
-                for path, text, role in found:
-                    if role == OPEN:
-                        parent = path.rpartition(">")[0]
-                        style = hashlib.md5("|".join(styles[parent]).encode()).hexdigest()
-                        row.append((path, parent, style, hashlib.md5(text.encode("utf-8", "surrogatepass")).digest(), text, role))
-                    elif role == KEEP:
-                        row.append((None, None, None, None, text, role))
-                rows.append([dict(zip(("path", "parent", "style", "mark", "text", "role"), r, strict=True)) for r in row])
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(rows, pa.list_(_BLOCK))], names=["page", "url", "host", "blocks"])
+                found = blocks(html or "")
+                own, children, seen, paths = [], {}, {}, set()
+                for (path, text, _, _), prior in zip(found, priors(found), strict=True):
+                    parent, _, label = path.rpartition(">")
+                    place, above, mark = _place(path), _place(parent), _digest(text)
+                    own.append({"path": place, "prior": prior, "text": text})
+                    children.setdefault(above, []).append(label)
+                    if (place, mark) not in seen:
+                        seen[place, mark] = {"path": place, "parent": above, "mark": mark, "new": int(place not in paths)}
+                        paths.add(place)
+                rows.append(own)
+                nodes.append(list(seen.values()))
+                styles.append([{"parent": k, "style": _digest("|".join(v))} for k, v in children.items()])
+                prints.append(_digest(f"{[(n['path'], n['mark']) for n in nodes[-1]]}"))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(prints, pa.int64()), pa.array(rows, pa.list_(_BLOCK)), pa.array(nodes, pa.list_(_NODE)), pa.array(styles, pa.list_(_STYLE))], names=["page", "url", "host", "print", "blocks", "nodes", "styles"])
 
 
 def importance(parsed: DataFrame, weight: float = 0.9) -> DataFrame:
-    """(host, path, pages, importance) of the style trees' undecided branches.
+    """(host, path, pages, importance) of the style trees' branches.
 
     Texts are first counted by host, branch and digest, in every task for itself, so a host with most of
     the pages makes no large group.
     """
-    each = parsed.select("host", "page", F.explode("blocks").alias("b")).where(f"b.role = {OPEN}").select("host", "page", "b.path", "b.parent", "b.style", "b.mark")
-    once = each.groupBy("host", "path", "parent", "mark").agg(F.count_distinct("page").alias("n"))
-    content = once.groupBy("host", "path", "parent").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("h"))
-    pages = each.groupBy("host", "path").agg(F.count_distinct("page").alias("pages"))
-    styles = each.groupBy("host", "parent", "style").agg(F.count_distinct("page").alias("n"))
-    shown = styles.groupBy("host", "parent").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("g"))
+    page = parsed.select("host", "print", "nodes", "styles").dropDuplicates(["host", "print"])
+    once = page.select("host", F.explode("nodes").alias("b")).groupBy("host", "b.path", "b.parent", "b.mark").agg(F.count("*").alias("n"), F.sum("b.new").alias("new"))
+    content = once.groupBy("host", "path", "parent").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("h"), F.sum("new").alias("pages"))
+    shapes = page.select("host", F.explode("styles").alias("b")).groupBy("host", "b.parent", "b.style").agg(F.count("*").alias("n"))
+    shown = shapes.groupBy("host", "parent").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("g"))
     presentation = F.when(F.col("m") > 1, 1 - F.col("g") / F.col("m") / F.log("m")).otherwise(1.0)
     own = F.when(F.col("pages") > 1, 1 - F.col("h") / F.col("all") / F.log("pages")).otherwise(1.0)
-    tree = content.join(pages, ["host", "path"]).join(shown, ["host", "parent"])
+    tree = content.join(shown, ["host", "parent"])
     return tree.select("host", "path", "pages", (weight * own + (1 - weight) * presentation).alias("importance"))
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: float = 0.4, least_pages: int = 4, broadcast_rows: int = 200_000) -> DataFrame:
     """(id, url, text, n_chars) for every row of pages.
 
-    Null or empty html gives empty text. Branches without declared role stay unless their importance on
-    their host is under `least`; a host shows that with `least_pages` pages or more. Pages without a url
-    share one host. Repeated rows give equal rows.
+    Null or empty html gives empty text. A block stays where its branch's importance on the host and its
+    own prior add up to `least` or more; a branch on fewer than `least_pages` distinct pages counts as 1.
+    Pages without a url share one host. Repeated rows give equal rows.
     """
     bounded(pages.sparkSession, rows=1024)
     host = F.lower(F.coalesce(F.regexp_extract(url_column, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     rows = pages.select(F.col(id_column).cast("long").alias("page"), F.col(url_column).cast("string").alias("url"), host.alias("host"), F.col(html_column).cast("string").alias("html"))
     parsed = cut(rows.mapInArrow(_parsed, _PARSED))
-    low = cut(importance(parsed).where((F.col("importance") < least) & (F.col("pages") >= least_pages)).select("host", "path"))
-    drops = low.groupBy("host").agg(F.collect_set("path").alias("drops"))
-    if low.count() <= broadcast_rows:
-        drops = F.broadcast(drops)
-    joined = parsed.join(drops, "host", "left")
-    stays = F.filter("blocks", lambda b: (b["role"] == KEEP) | F.col("drops").isNull() | ~F.array_contains(F.coalesce("drops", F.array().cast("array<string>")), F.coalesce(b["path"], F.lit(""))))
+    known = cut(importance(parsed).where(F.col("pages") >= least_pages).select("host", "path", "importance"))
+    tree = known.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("tree"))
+    if known.count() <= broadcast_rows:
+        tree = F.broadcast(tree)
+    joined = parsed.select("page", "url", "host", "blocks").join(tree, "host", "left")
+    stays = F.filter("blocks", lambda b: F.coalesce(F.element_at("tree", b["path"]), F.lit(1.0)) + b["prior"] >= least)
     text = F.array_join(F.transform(stays, lambda b: b["text"]), " ")
     return joined.select(F.col("page").alias(id_column), F.col("url").alias(url_column), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -211,6 +211,16 @@ def test_main_text_drops_what_a_host_repeats(spark):
     assert main_text(df.where("false")).count() == 0
 
 
+def test_main_text_weighs_roles_with_the_tree(spark):
+    """A prompt that a host repeats in its articles goes; text beside teaser articles stays, and they go."""
+    rows = [(i, f"http://a.org/{i}", f"<body><nav>Way {i}</nav><article><p>Story {i} alone and long</p><div class='x7'>Tell your friends</div></article></body>") for i in range(8)]
+    card = lambda i: f"<article><h3>Card {i}</h3></article>"
+    rows += [(20 + i, f"http://b.org/{i}", f"<body><div id='content'><p>{f'Long text {i} of the page. ' * 9}</p></div>{card(i)}{card(i + 1)}{card(i + 2)}</body>") for i in range(8)]
+    rows += [(40 + i, "http://c.org/", "<body><article><p>The same page</p></article></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i} alone and long" and got[20 + i] == (f"Long text {i} of the page. " * 9).strip() and got[40 + i] == "The same page" for i in range(8))
+
+
 def test_shards(spark, docs, texts, empty):
     for limit in (100, 700, 10**9):
         got = assign_shards(docs, limit).collect()
