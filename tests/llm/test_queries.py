@@ -158,6 +158,19 @@ def test_brown(docs, texts, empty):
     assert brown_scores(empty, remainder("doc_id", 5) != 1).count() == 0
 
 
+def test_brown_classes_words_outside_the_head(spark):
+    """Words of one spelling in two kinds of places: the places decide, not the spelling."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("bcdfgh"), 5)) + "zz"
+    nouns, verbs = [word() for _ in range(40)], [word() for _ in range(40)]
+    often = lambda: int(rng.integers(0, 5 if rng.random() < 0.5 else 40))
+    rows = [(i, " ".join(f"the {nouns[often()]} we {verbs[often()]}" for _ in range(30))) for i in range(100)]
+    rows += [(1000, " ".join(f"the {a} we {b}" for a, b in zip(nouns, verbs, strict=True))), (1001, " ".join(f"the {b} we {a}" for a, b in zip(nouns, verbs, strict=True)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in brown_scores(docs, F.col("doc_id") < 1000, classes=6, head=12).collect()}
+    assert got[1000].score > got[1001].score + 20
+
+
 def test_quality(spark, empty):
     good, bad = "the cat sat on the mat", "buy!! now!! $$$ cheap!! $$$"
     rows = [(i, good + f" w{i}" if i % 2 else bad + f" w{i}") for i in range(200)] + [(900, None), (901, ""), (902, "x " * 9000)]
