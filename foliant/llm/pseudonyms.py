@@ -1,8 +1,8 @@
 """Operator 3: format-preserving pseudonyms by a keyed Feistel permutation.
 
-Numbers and dates that validate (card numbers by Luhn, account numbers by mod 97, social security and
-telephone numbers, IPv4 addresses, calendar dates) and e-mail names and secrets are found in texts. Each
-is a number below the size of its format's domain; a Feistel network over the domain's bits, keyed and
+Numbers and dates that validate (card numbers by Luhn, account numbers by mod 97, social security
+numbers, IPv4 addresses, calendar dates), what is written as a telephone number, e-mail names and secrets
+are found in texts. Each is a number below the size of its format's domain; a Feistel network over the domain's bits, keyed and
 tweaked by the format, permutes it, walking on while it is outside the domain. The result is written back
 in the same format, check digits and all, so equal values stay equal in all documents and nothing links
 them to the originals without the key.
@@ -70,14 +70,17 @@ def card(text: str, key: bytes) -> str | None:
     return _spread(text, body + str(luhn(body)))
 
 
+_CODES = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+
+
 def phone(text: str, key: bytes) -> str | None:
+    """The country code after a plus stays; what follows is a domain for each length, so ten digits are equal with and without code."""
     d = _digits(text)
-    body = d[-10:]
-    if not 10 <= len(d) <= 13 or body[0] in "01" or body[3] in "01":
+    head = _CODES.match(d)[0] if text[0] == "+" else ""
+    body = d[len(head) :]
+    if not 7 <= len(d) <= 15:
         return None
-    n = ((int(body[:3]) - 200) * 800 + int(body[3:6]) - 200) * 10_000 + int(body[6:])
-    n, last = divmod(permute(n, 800 * 800 * 10_000, key, "phone"), 10_000)
-    return _spread(text, d[:-10] + f"{n // 800 + 200:03d}{n % 800 + 200:03d}{last:04d}")
+    return _spread(text, f"{head}{permute(int(body), 10 ** len(body), key, f'phone{len(body)}'):0{len(body)}d}")
 
 
 def ssn(text: str, key: bytes) -> str | None:
@@ -92,10 +95,9 @@ def ssn(text: str, key: bytes) -> str | None:
 
 def ipv4(text: str, key: bytes) -> str | None:
     parts = text.split(".")
-    if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts) or not 1 <= int(parts[0]) <= 223:
+    if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
-    n = functools.reduce(lambda t, p: t * 256 + int(p), parts, 0) - (1 << 24)
-    n = permute(n, 223 << 24, key, "ipv4") + (1 << 24)
+    n = permute(functools.reduce(lambda t, p: t * 256 + int(p), parts, 0), 1 << 32, key, "ipv4")
     return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
 
 
@@ -113,16 +115,22 @@ _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 3
 
 
 def date(text: str, key: bytes) -> str | None:
+    """Year first, else day first, else month first; the last are dates after the 12th alone and stay among these, as no other reading has them."""
     a, b, c = re.split(r"[-/.]", text)
     sep = text[len(a)]
+    month_first = len(a) == 2 and int(b) > 12
+    y, m, d = (a, b, c) if len(a) == 4 else (c, a, b) if month_first else (c, b, a)
     try:
-        day = datetime.date(int(a), int(b), int(c)) if len(a) == 4 else datetime.date(int(c), int(b), int(a))
+        day = datetime.date(int(y), int(m), int(d))
     except ValueError:
         return None
     if not _FIRST <= day.toordinal() <= _LAST:
         return None
-    new = datetime.date.fromordinal(_FIRST + permute(day.toordinal() - _FIRST, _LAST - _FIRST + 1, key, "date"))
-    return new.strftime(f"%Y{sep}%m{sep}%d" if len(a) == 4 else f"%d{sep}%m{sep}%Y")
+    while True:
+        day = datetime.date.fromordinal(_FIRST + permute(day.toordinal() - _FIRST, _LAST - _FIRST + 1, key, "date"))
+        if not month_first or day.day > 12:
+            break
+    return day.strftime(f"%Y{sep}%m{sep}%d" if len(a) == 4 else f"%m{sep}%d{sep}%Y" if month_first else f"%d{sep}%m{sep}%Y")
 
 
 def string(text: str, key: bytes, tweak: str) -> str:
@@ -154,10 +162,22 @@ _KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
     ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])", ipv4),
     ("card", r"(?<![0-9])[0-9]{13,19}(?![0-9])", card),
     ("card", r"(?<![0-9])[0-9]{4}([ \-])(?:[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{6}\1[0-9]{5})(?![0-9])", card),
-    ("phone", r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?)?\(?[2-9][0-9]{2}\)?[ .\-]?[2-9][0-9]{2}[ .\-]?[0-9]{4}(?![0-9A-Za-z])", phone),
+    ("phone", r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])", phone),
+    ("phone", r"(?<![0-9A-Za-z+])\+[1-9](?:[ .\-()/]{0,2}[0-9]){6,14}(?![0-9A-Za-z])", phone),
+    ("phone", r"(?<![0-9A-Za-z])\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9A-Za-z])", phone),
 ]
 _FOUND = [(name, re.compile(pattern), how) for name, pattern, how in _KINDS]
-_MAYBE = re.compile(r"[0-9]{2}|@|AKIA|password=")
+#: A superset of the patterns.
+_MAYBE = re.compile(r"[0-9]|@|AKIA|password=|[a-f]{32}")
+
+
+def _without(text: str, taken: list[tuple[int, int, str, str]]) -> str:
+    """text with letters for what is taken, so that a number beside it ends there."""
+    out, at = [], 0
+    for s, e, _, _ in sorted(taken):
+        out += [text[at:s], "x" * (e - s)]
+        at = e
+    return "".join([*out, text[at:]])
 
 
 def pseudonymised(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
@@ -166,7 +186,7 @@ def pseudonymised(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
         return text, []
     taken: list[tuple[int, int, str, str]] = []
     for name, pattern, how in _FOUND:
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(_without(text, taken) if name == "phone" else text):
             if not any(m.start() < e and s < m.end() for s, e, _, _ in taken) and (new := how(m[0], key)) is not None:
                 taken.append((m.start(), m.end(), new, name))
     taken.sort()

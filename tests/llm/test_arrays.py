@@ -107,3 +107,14 @@ def test_pseudonyms():
     new, kinds = pseudonymised(f"call +1 (578) 555-6437 {whole} 17.252.227.210 or {whole[:4]}-{whole[4:8]}-{whole[8:12]}-{whole[12:]}", KEY)
     assert kinds == ["phone", "card", "ip", "card"] and re.sub("-", "", new.split()[-1]) in new.split()[-4:] and whole not in new
     assert pseudonymised(None, KEY) == (None, []) and pseudonymised("", KEY) == ("", [])
+
+
+def test_pseudonyms_of_all_values_of_a_format():
+    for text, kind in (("+1 (017) 555-7713", "phone"), ("(017) 555-7713", "phone"), ("+44 20 7946 0958", "phone"), ("+49 30 123456", "phone"), ("233.254.104.120", "ip"), ("0.1.2.3", "ip"), ("8.8.8.8", "ip"), ("12/25/2020", "date")):
+        new, kinds = pseudonymised(f"at {text} or", KEY)
+        assert kinds == [kind] and text not in new and re.sub("[0-9]+", "9", new) == re.sub("[0-9]+", "9", f"at {text} or")
+        assert new[3:-3] in pseudonymised(f"12 and {text}, 2020", KEY)[0]
+    assert pseudonymised("+442079460958", KEY)[0][3:] == re.sub("[^0-9]", "", pseudonymised("+44 20 7946 0958 10.2.3.4", KEY)[0][4:16])
+    assert pseudonymised("+44 20 7946 0958 10.2.3.4", KEY)[1] == ["phone", "ip"] and pseudonymised("abcdef" * 6, KEY)[1] == ["secret"]
+    dates = [f"{m:02d}/{d}/2020" for m in range(1, 13) for d in range(13, 29)]
+    assert len({date(x, KEY) for x in dates}) == len(dates) and all(int(date(x, KEY)[3:5]) > 12 for x in dates) and date("13/13/2020", KEY) is None
