@@ -6,6 +6,10 @@ on a bounded sample of rows that declare a language, and tempered: a trigram cou
 are, as neighbouring ones repeat each other. The other three come from one grouped aggregation over all
 rows: how often languages read from text alone meet declarations, address suffixes, hosts and their
 domains. A host's prior is its counts drawn to its domain's, which are drawn to the whole corpus's.
+
+One more hypothesis is that the text is in none of the languages: all trigrams are alike to it, declarations
+and suffixes have their shares of the corpus, and its prior is NONE. So texts whose trigrams the best
+language hasn't seen (another script, random letters) are in none.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 from foliant.llm.arrays import slices, text_bytes
 from foliant.llm.frames import bounded, cut
 
-BUCKETS, ENOUGH = 1 << 14, 200.0
+BUCKETS, ENOUGH, NONE = 1 << 14, 200.0, 0.001
 _LETTER = np.full(256, 1, dtype=np.uint32)
 for _b in (*range(0x61, 0x7B), *range(0x80, 0x100)):
     _LETTER[_b] = _b
@@ -90,7 +94,7 @@ def _likely(shared):
             for i, j, row, bucket in _trigrams(batch.column(0)):
                 n = np.bincount(row, minlength=j - i)
                 soft = np.minimum(1.0, ENOUGH / np.maximum(n, 1))
-                scores = np.stack([np.bincount(row, weights=t[bucket], minlength=j - i) * soft for t in model.table], axis=1)
+                scores = np.stack([*(np.bincount(row, weights=t[bucket], minlength=j - i) * soft for t in model.table), -np.log(BUCKETS) * n * soft], axis=1)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, scores.size + 1, scores.shape[1]), pa.int32()), pa.array(scores.reshape(-1)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(1, batch.num_columns)), pa.array(n, pa.int64()), lists], names=[*batch.schema.names[1:], "letters", "scores"])
 
@@ -110,7 +114,8 @@ def evidence(key: Column, text: Column, declared: Column, host: Column) -> list[
 def identify(rows: DataFrame, model: Trigrams, strength: float = 8.0, confidence: float = 0.5, broadcast_rows: int = 200_000) -> DataFrame:
     """(key, declared, language, confidence, accepted) for every row of evidence().
 
-    A row is accepted if its text holds a letter and its best language's posterior is `confidence` or more.
+    A row is accepted if its text holds a letter and its best language's posterior, with none of the
+    languages as a hypothesis, is `confidence` or more. language is the best one all the same.
     Null, empty and letterless texts are judged by the other evidence, and not accepted. A null or unknown
     declaration, suffix or host says nothing. Without a fitted language, language is null, nothing accepted.
     """
@@ -122,7 +127,7 @@ def identify(rows: DataFrame, model: Trigrams, strength: float = 8.0, confidence
     shared = spark.sparkContext.broadcast(model)
     scored = cut(rows.select("text", "key", "declared", "host", "domain", "suffix").mapInArrow(_likely(shared), f"key {key}, declared string, host string, domain string, suffix string, letters long, scores array<double>"))
     best = F.array_position("scores", F.array_max("scores")).cast("int")
-    seen = cut(scored.where("letters > 0").groupBy("declared", "host", "domain", "suffix", best.alias("l")).count())
+    seen = cut(scored.where("letters > 0").groupBy("declared", "host", "domain", "suffix", best.alias("l")).count().where(F.col("l") <= len(names)))
     size = range(1, len(names) + 1)
     vector = [F.coalesce(F.sum(F.when(F.col("l") == k, F.col("count"))), F.lit(0)).cast("double").alias(f"n{k}") for k in size]
     zero = dict.fromkeys((f"n{k}" for k in size), 0.0)
@@ -135,23 +140,23 @@ def identify(rows: DataFrame, model: Trigrams, strength: float = 8.0, confidence
         each = seen.where(F.col(column).isNotNull()).groupBy(column).agg(*vector)
         whole = each.agg(*(F.coalesce(F.sum(f"n{k}"), F.lit(0.0)).alias(f"n{k}") for k in size)).first().asDict()
         share = sum(F.col(f"n{k}") for k in size) / (sum(whole.values()) or 1.0)
-        return each.select(F.col(column).alias(f"_{out}"), F.array(*(F.log((F.col(f"n{k}") + strength * share) / (whole[f"n{k}"] + strength)) for k in size)).alias(out))
+        return each.select(F.col(column).alias(f"_{out}"), F.array(*(F.log((F.col(f"n{k}") + strength * share) / (whole[f"n{k}"] + strength)) for k in size), F.log(share)).alias(out))
 
     domain = seen.where("domain is not null").groupBy("domain").agg(*vector)
     sums = sum(F.col(f"n{k}") for k in size)
     domain = domain.select(F.col("domain").alias("_dom"), *((F.col(f"n{k}") + strength * root[k]).alias(f"d{k}") for k in size), (sums + strength).alias("d"))
     host = seen.where("host is not null").groupBy("host", "domain").agg(*vector).join(domain, F.col("domain") == F.col("_dom"))
-    host = host.select(F.col("host").alias("_host"), F.array(*(F.log((F.col(f"n{k}") + strength * F.col(f"d{k}") / F.col("d")) / (sums + strength)) for k in size)).alias("prior"))
+    host = host.select(F.col("host").alias("_host"), F.array(*(F.log((F.col(f"n{k}") + strength * F.col(f"d{k}") / F.col("d")) / (sums + strength)) for k in size), F.lit(float(np.log(NONE)))).alias("prior"))
     out = scored
     for table, own, column in ((given("declared", "by_declared"), "_by_declared", "declared"), (given("suffix", "by_suffix"), "_by_suffix", "suffix"), (host, "_host", "host")):
         table = cut(table)
         out = out.join(F.broadcast(table) if table.count() <= broadcast_rows else table, F.col(column) == F.col(own), "left")
-    nothing = F.array(*(F.lit(0.0) for _ in size))
-    start = F.array(*(F.lit(float(np.log(root[k]))) for k in size))
+    nothing = F.array(*(F.lit(0.0) for _ in (*size, 0)))
+    start = F.array(*(F.lit(float(np.log(x))) for x in (*root.values(), NONE)))
     term = lambda c: F.coalesce(F.col(c), nothing)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     post = add(add(F.col("scores"), term("by_declared")), add(term("by_suffix"), F.coalesce("prior", start)))
-    out = out.withColumn("post", post).withColumn("top", F.array_max("post"))
+    out = out.withColumn("post", post).withColumn("top", F.array_max(F.slice("post", 1, len(names))))
     chance = F.lit(1.0) / F.aggregate("post", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))
     name = F.element_at(F.array(*(F.lit(x) for x in names)), F.array_position("post", F.col("top")).cast("int"))
     return out.select("key", "declared", name.alias("language"), chance.alias("confidence"), ((F.col("letters") > 0) & (chance >= confidence)).alias("accepted"))

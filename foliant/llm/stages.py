@@ -25,7 +25,7 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language can't be told: no letters, or no language with half the posterior. lang stays as declared."""
+    """Documents go whose language can't be told: no letters, or no language with half the posterior, where none of them is a hypothesis. lang stays as declared."""
     rows = docs.select(*language.evidence(F.col("doc_id").cast("long"), F.col("text"), F.col("lang"), F.col("source")))
     return _without(docs, language.identify(rows, language.fit(rows)).where("not accepted").select(F.col("key").alias("doc_id")))
 

@@ -275,6 +275,15 @@ def test_language(spark, docs, empty):
     assert language.identify(none, language.fit(none)).count() == 0
 
 
+def test_language_of_no_fitted_language(spark):
+    en, de = "the quick brown fox and the lazy dog with that", "der schnelle braune fuchs und der faule hund mit dem"
+    rows = [(i, en if i % 5 else de, "en" if i % 5 else "de", "h.org") for i in range(400)]
+    rows += [(900, "быстрая коричневая лиса прыгает через ленивую собаку " * 4, "en", "h.org"), (901, "敏捷的棕色狐狸跳过了懒狗" * 4, None, None), (902, "qJx7Zk0vWpY3hKbN8cRfTg2mLsXdQz" * 4, "de", None), (903, "the lazy fox", None, None)]
+    ev = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").select(*language.evidence(F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source")))
+    got = {r.key: r for r in language.identify(ev, language.fit(ev.where("key < 900"))).collect()}
+    assert [got[i].accepted for i in (900, 901, 902, 903)] == [False, False, False, True] and all(got[i].accepted and got[i].language == got[i].declared for i in range(400))
+
+
 def test_pseudonyms_link(spark, empty):
     df = spark.createDataFrame([(1, "call 10.2.3.4"), (2, "at 10.2.3.4!"), (3, None), (4, ""), (1, "call 10.2.3.4")], "doc_id long, text string").withColumn("kinds", F.lit(0))
     got = sorted(pseudonymise(df, b"k").collect(), key=lambda r: r.doc_id)
