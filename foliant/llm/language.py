@@ -2,7 +2,7 @@
 
 log P(language | all) = log P(text | language) + log P(declared | language) + log P(suffix | language)
 + log P(language | host) + constant. The text's likelihood is naive Bayes over hashed byte trigrams, fitted
-on a bounded sample of rows that declare a language, and tempered: a trigram counts less the more there
+on a bounded sample of rows of each declared language, and tempered: a trigram counts less the more there
 are, as neighbouring ones repeat each other. The other three come from one grouped aggregation over all
 rows: how often languages read from text alone meet declarations, address suffixes, hosts and their
 domains. A host's prior is its counts drawn to its domain's, which are drawn to the whole corpus's.
@@ -51,19 +51,17 @@ def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         yield i, j, np.searchsorted(own, at, side="right") - 1, bucket
 
 
-def _counted(languages: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {x: k for k, x in enumerate(languages)}
-        total, rows = np.zeros((len(languages), BUCKETS)), 0
-        for batch in batches:
-            own = np.array([number[x] for x in batch.column(1).to_pylist()], dtype=np.int64)
-            rows += len(own)
-            for i, _, row, bucket in _trigrams(batch.column(0)):
-                total += np.bincount(own[i:][row] * BUCKETS + bucket, minlength=total.size).reshape(total.shape)
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(languages, pa.string()), pa.array([t.tobytes() for t in total], pa.binary())], names=["lang", "n"])
-
-    return run
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Trigrams of a task's rows by language; only languages it met."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        names, own = np.unique(np.array(batch.column(1).to_pylist(), dtype=object), return_inverse=True)
+        for i, _, row, bucket in _trigrams(batch.column(0)):
+            of = own[i:][row]
+            for k in np.unique(of):
+                total[names[k]] = total.get(names[k], 0.0) + np.bincount(bucket[of == k], minlength=BUCKETS).astype(float)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["lang", "n"])
 
 
 class Trigrams:
@@ -74,16 +72,22 @@ class Trigrams:
         self.table = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
 
 
-def fit(rows: DataFrame, sample: int = 20_000, most: int = 64) -> Trigrams:
-    """Trigrams of the `most` languages that are declared most often. rows: (text, declared); about `sample` rows are read."""
+def fit(rows: DataFrame, sample: int = 20_000, least: int = 5, each: int = 500) -> Trigrams:
+    """Trigrams of every language that `least` rows declare. rows: (text, declared).
+
+    About sample / languages rows of each are read, `each` at least, or as many as there are.
+    """
     known = rows.where("declared is not null and text is not null")
-    names = [r[0] for r in known.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(most).collect()]
-    n = known.count()
-    part = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))).where(F.col("declared").isin(names))
+    found = {r[0]: r[1] for r in known.groupBy("declared").count().where(F.col("count") >= least).orderBy(F.desc("count"), "declared").collect()}
+    names = list(found)
     counts = np.zeros((len(names), BUCKETS))
     if names:
-        for lang, packed in part.select("text", "declared").mapInArrow(_counted(names), "lang string, n binary").toLocalIterator():
-            counts[names.index(lang)] += np.frombuffer(packed)
+        want = max(each, sample // len(names))
+        share = rows.sparkSession.createDataFrame([(x, int(min(1.0, want / n) * (1 << 40)) + 1) for x, n in found.items()], "_lang string, _share long")
+        part = known.join(F.broadcast(share), F.col("declared") == F.col("_lang")).where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < F.col("_share"))
+        place = {x: k for k, x in enumerate(names)}
+        for lang, packed in part.select("text", "declared").mapInArrow(_counted, "lang string, n binary").toLocalIterator():
+            counts[place[lang]] += np.frombuffer(packed)
     return Trigrams(names, counts)
 
 
@@ -117,12 +121,13 @@ def identify(rows: DataFrame, model: Trigrams, strength: float = 8.0, confidence
     A row is accepted if its text holds a letter and its best language's posterior, with none of the
     languages as a hypothesis, is `confidence` or more. language is the best one all the same.
     Null, empty and letterless texts are judged by the other evidence, and not accepted. A null or unknown
-    declaration, suffix or host says nothing. Without a fitted language, language is null, nothing accepted.
+    declaration, suffix or host says nothing. Without a fitted language, language is null, and every text
+    with a letter is accepted.
     """
     spark, names = rows.sparkSession, model.languages
     bounded(spark)
     if not names:
-        return rows.select("key", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"))
+        return rows.select("key", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.coalesce(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"), F.lit(False)).alias("accepted"))
     key = rows.schema["key"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)
     scored = cut(rows.select("text", "key", "declared", "host", "domain", "suffix").mapInArrow(_likely(shared), f"key {key}, declared string, host string, domain string, suffix string, letters long, scores array<double>"))

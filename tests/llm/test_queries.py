@@ -284,6 +284,20 @@ def test_language_of_no_fitted_language(spark):
     assert [got[i].accepted for i in (900, 901, 902, 903)] == [False, False, False, True] and all(got[i].accepted and got[i].language == got[i].declared for i in range(400))
 
 
+def test_language_takes_every_declared_language(spark):
+    """Each of 70 languages, and one of few rows among many of another; without declarations texts with letters stay."""
+    rng = np.random.default_rng(6)
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(8)] for _ in range(70)]
+    rows = [(70 * j + k, " ".join(rng.permutation(words[k])), chr(97 + k // 26) + chr(97 + k % 26), None) for k in range(70) for j in range(6)]
+    rows += [(10_000 + j, " ".join(rng.permutation(words[0])) + f" {j}", "aa", None) for j in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.fit(df.select("text", F.col("lang").alias("declared")), sample=700, each=10)
+    assert set(model.languages) == {r[2] for r in rows} and all(len(np.unique(t)) > 1 for t in model.table)
+    bare = df.where("doc_id in (0, 70, 140)").unionAll(spark.createDataFrame([(-1, "12 !!", None, None), (-2, None, None, None)], df.schema)).withColumn("lang", F.lit(None).cast("string"))
+    ev = bare.select(*language.evidence(F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source")))
+    assert {r.key: r.accepted for r in language.identify(ev, language.fit(ev)).collect()} == {0: True, 70: True, 140: True, -1: False, -2: False}
+
+
 def test_pseudonyms_link(spark, empty):
     df = spark.createDataFrame([(1, "call 10.2.3.4"), (2, "at 10.2.3.4!"), (3, None), (4, ""), (1, "call 10.2.3.4")], "doc_id long, text string").withColumn("kinds", F.lit(0))
     got = sorted(pseudonymise(df, b"k").collect(), key=lambda r: r.doc_id)
