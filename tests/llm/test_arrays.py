@@ -11,7 +11,7 @@ from foliant.llm import arrays
 from foliant.llm.brown import exchange
 from foliant.llm.decontaminate import FMIndex, suffix_array, without_spans
 from foliant.llm.minhash import bands, registers, shared_counts
-from foliant.llm.pages import page_blocks
+from foliant.llm.pages import blocks
 from foliant.llm.pseudonyms import card, date, ipv4, luhn, permute, pseudonymised
 
 KEY = b"key"
@@ -88,9 +88,9 @@ def test_exchange_ends_where_no_move_helps():
 
 def test_main_text():
     page = "<html><head><title>t</title></head><body><header>site</header><nav><a>m</a></nav><article><header><h1>H</h1></header><p>a &amp; b<p>c<b>d</b>e<br>f<div class='comments'>no</div><script>'</p>'</script><form>x</form></article><footer>f</footer><p"
-    assert " ".join(t for _, t, r in page_blocks(page) if r == 1) == "H a & b cde f"
-    assert page_blocks(None) == page_blocks("") == []
-    assert [r for _, _, r in page_blocks("<body><div>x</div><div class='ad'>y</div><div class='adBox'>z</div><p id='sidebarleft'>s</p><p class='shadow headline'>k</p>")] == [2, 0, 0, 0, 2]
+    assert " ".join(t for *_, t, r, _ in blocks(page) if r == 1) == "H a & b cde f"
+    assert blocks("") == []
+    assert [r for *_, r, _ in blocks("<body><div>x</div><div class='ad'>y</div><div class='adBox'>z</div><p id='sidebarleft'>s</p><p class='shadow headline'>k</p>")] == [2, 0, 0, 0, 2]
 
 
 def test_pseudonyms():
