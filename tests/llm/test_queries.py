@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -183,6 +184,18 @@ def test_quality(spark, empty):
     assert {r.score for r in quality_scores(docs, labels.where("false"), remainder("doc_id", 3) == 1).collect()} == {0.5}
 
 
+def _vector_links(rows, threshold=0.95):
+    """Links and components of (id, vector) rows the plain way; ids may not repeat."""
+    ids, x = [r[0] for r in rows], np.array([r[1] for r in rows])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= threshold
+    parent = {i: i for i in ids}
+    for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        p, q = root(parent, ids[a]), root(parent, ids[b])
+        parent[max(p, q)] = min(p, q)
+    return {i: (int(near[k].sum()) - 1, root(parent, i)) for k, i in enumerate(ids)}
+
+
 def test_vectors(spark, monkeypatch):
     import foliant.llm.subspace as s
 
@@ -194,26 +207,58 @@ def test_vectors(spark, monkeypatch):
     rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
     rows += [(400, None), (401, []), (402, [0.0] * 16), (403, [float("nan")] * 16), (404, [1.0, None] * 8), (405, [float("inf")] + [1.0] * 15), (406, [1.0, 0.0]), (407, [2.0, 0.0]), (0, rows[0][1]), (None, rows[1][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("vec", F.lit(1)).withColumn("id", F.lit("c"))
-    fine = [(i, np.array(r, dtype=np.float32).astype(float)) for i, r in rows if i is not None and (i < 400 or i > 405)]
-    links, parent = Counter(), {i: i for i, _ in rows if i is not None}
-    for (i, a), (j, b) in itertools.combinations(fine, 2):
-        if len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95:
-            links[i] += 1
-            links[j] += 1
-            p, q = root(parent, i), root(parent, j)
-            parent[max(p, q)] = min(p, q)
-    for tile in (4096, 16):
+    want = _vector_links([r for r in rows if r[0] is not None and r[0] < 400][:300]) | {i: (0, i) for i in range(400, 406)} | {406: (1, 406), 407: (1, 406)}
+    for tile, cells in ((8192, None), (16, 3), (40, 30)):
         monkeypatch.setattr(s, "TILE", tile)
-        got = near_vectors(df).collect()
+        got = near_vectors(df, cells=cells).collect()
         assert len(got) == len(rows)
         for r in got:
             if r.vec_id is None:
                 assert r.component_id is None and r.n_links == 0 and r.kept
             elif r.vec_id != 0:
-                assert (r.n_links, r.component_id) == (links[r.vec_id], root(parent, r.vec_id)), r
+                extra = sum(root_links(rows, r.vec_id, 0))
+                assert (r.n_links - extra, r.component_id) == want[r.vec_id], r
     assert near_vectors(df.where("false")).count() == 0
 
 
+def root_links(rows, a, b):
+    """1 if a links with b, which two rows hold."""
+    x, y = (np.array(rows[i][1]) for i in (a, b)) if a < 300 else (np.ones(1), -np.ones(1))
+    yield int(a != b and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.95)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_vectors_join_over_many_cells(spark, monkeypatch, kind):
+    """Tens of cells a block and several tiles a cell: a dense group of near copies beside links at the edge of threshold and budgets."""
+    import foliant.llm.subspace as s
+
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1600, 24)).astype(np.float32).astype(float)
+    x[:500] = x[0] + 0.2 * rng.standard_normal((500, 24))
+    for k in range(500, 900, 2):
+        u, w = x[k] / np.linalg.norm(x[k]), x[k + 1]
+        w = w - (w @ u) * u
+        c = 0.95 + rng.uniform(-0.01, 0.01)
+        x[k + 1] = 7 * (c * u + math.sqrt(1 - c * c) * w / np.linalg.norm(w))
+    x = x.astype(np.float32) if kind == "float" else x
+    rows = [(1000 + 3 * i, [float(v) for v in r]) for i, r in enumerate(x)]
+    want = _vector_links(rows)
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    for tile, cells in ((64, 40), (8192, 4)):
+        monkeypatch.setattr(s, "TILE", tile)
+        monkeypatch.setattr(s, "BATCH", 100)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, cells=cells).collect()}
+        assert got == want and max(n for n, _ in got.values()) > 300
+
+
+def test_vectors_of_a_driver_table(spark):
+    if not os.path.exists(at := "/root/testdata/sf0.01/embeddings.parquet"):
+        pytest.skip("no table")
+    df = spark.read.parquet(at)
+    want = _vector_links([(r.vec_id, r.embedding) for r in df.collect()])
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(df, cells=20).collect()} == want
+
+
 def test_main_text_drops_what_a_host_repeats(spark):
     page = lambda i: f"<body><div class='top'>Welcome to our site</div><div class='story'><p>Story {i} alone</p></div><div class='end'>All rights reserved</div></body>"
     rows = [(i, f"http://h.org/{i}", page(i)) for i in range(8)] + [(90, "http://one.org/", page(90)), (91, None, None), (92, "http://h.org/x", ""), (3, "http://h.org/3", page(3))]
