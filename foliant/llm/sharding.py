@@ -2,7 +2,8 @@
 
 Rows hash by their id. The directory starts at as many prefix bits as the total asks for; only prefixes
 whose rows exceed the byte limit are split on further bits, until every shard fits. Levels of the
-directory are tables of prefixes; their size follows the number of shards, not of rows.
+directory are tables of prefixes; their size follows the number of shards, not of rows, and none of them
+comes to the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliant.llm.frames import cut
 
@@ -23,24 +23,16 @@ def hash60(column: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(column).cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def _leaves(sums: dict[int, int], top: int, depth: int, limit: int) -> tuple[list[tuple[int, int, int]], set[int]]:
-    """(prefix at depth, leaf depth, leaf bytes) for prefixes that fit by `depth` bits, and the prefixes that don't, `top` bits down."""
-    level, by_depth = sums, {depth: sums}
-    for d in range(depth - 1, top - 1, -1):
-        up: dict[int, int] = {}
-        for prefix, n in level.items():
-            up[prefix >> 1] = up.get(prefix >> 1, 0) + n
-        by_depth[d] = level = up
-    done, over = [], set()
-    for prefix in sums:
-        for d in range(top, depth + 1):
-            own = prefix >> (depth - d)
-            if by_depth[d][own] <= limit:
-                done.append((prefix, d, by_depth[d][own]))
-                break
-        else:
-            over.add(prefix)
-    return done, over
+def _nodes(sums: DataFrame, top: int, depth: int, limit: int) -> DataFrame:
+    """(q, leaf_depth, leaf_bytes) for each prefix q at `depth` of sums (q, n): the highest node above it, from `top` bits on, that fits; null where none does.
+
+    A node's bytes are those of all prefixes below it, so it fits if no node under it is needed.
+    """
+    level = F.explode(F.sequence(F.lit(top), F.lit(depth)))
+    above = sums.select("q", "n", level.alias("d")).select("q", "n", "d", F.expr(f"shiftright(q, {depth} - d)").alias("at"))
+    fits = above.groupBy("d", "at").agg(F.sum("n").alias("bytes")).where(F.col("bytes") <= limit)
+    first = above.join(fits, ["d", "at"]).groupBy("q").agg(F.min(F.struct("d", "bytes")).alias("leaf"))
+    return sums.join(first, "q", "left").select("q", "n", F.col("leaf.d").alias("leaf_depth"), F.col("leaf.bytes").alias("leaf_bytes"))
 
 
 def assign_shards(docs: DataFrame, limit_bytes: int, id_column: str = "doc_id", text_column: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -49,48 +41,46 @@ def assign_shards(docs: DataFrame, limit_bytes: int, id_column: str = "doc_id",
     A shard's name is its hash prefix in bits after an s. Rows of one id share all bits: where they exceed
     the limit together, they go by text, and copies of one text by as many as fit, named by a suffix. A
     single row over the limit is a shard of its own. Null texts count 0 bytes. An empty table stays empty.
+    The directory is a table at every level and is broadcast up to `broadcast_rows` prefixes. Columns may have
+    any name; where an id's rows exceed the limit, they may hold no maps, which can't be grouped.
     """
-    spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_bytes", "shard", "depth", "shard_bytes")]
-    rows = docs.select(*names, hash60(id_column).alias("_h"), F.coalesce(F.octet_length(F.col(text_column).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
-    sizes = cut(rows.select("_h", "n_bytes"))
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    whole = F.struct(*(F.col(quoted(c)) for c in names)).alias("row")
+    rows = docs.select(whole, hash60(quoted(id_column)).alias("h"), F.coalesce(F.octet_length(F.col(quoted(text_column)).cast("string")), F.lit(0)).cast("long").alias("n_bytes"))
+    sizes = cut(rows.select("h", "n_bytes"))
     total = sizes.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     depth = min(BITS, max(0, math.ceil(math.log2(max(total, 1) / limit_bytes))) + 2)
-    top, levels, over = 0, [], None
+    few = lambda table: F.broadcast(table) if table.count() <= broadcast_rows else table
+    top, over, levels = 0, None, []
     while True:
-        prefix = F.shiftright("_h", BITS - depth)
-        part = sizes
-        if over is not None:
-            keys = spark.createDataFrame([(p,) for p in over], "_up long")
-            part = part.join(F.broadcast(keys) if len(over) <= broadcast_rows else keys, F.shiftright("_h", BITS - top) == F.col("_up"), "left_semi")
-        sums = {r[0]: r[1] for r in part.groupBy(prefix.alias("p")).agg(F.sum("n_bytes")).collect()}
-        done, over = _leaves(sums, top, depth, limit_bytes)
-        levels.append((depth, done))
-        if not over or depth == BITS:
+        part = sizes if over is None else sizes.join(over, F.shiftright("h", BITS - top) == F.col("up"), "left_semi")
+        sums = part.groupBy(F.shiftright("h", BITS - depth).alias("q")).agg(F.sum("n_bytes").alias("n"))
+        nodes = cut(_nodes(cut(sums), top, depth, limit_bytes))
+        left = nodes.where("leaf_depth is null")
+        last = depth == BITS or left.isEmpty()
+        done = nodes.select("q", F.coalesce("leaf_depth", F.lit(BITS)).alias("own_depth"), F.coalesce("leaf_bytes", "n").alias("own_bytes")) if last else nodes.where("leaf_depth is not null").select("q", F.col("leaf_depth").alias("own_depth"), F.col("leaf_bytes").alias("own_bytes"))
+        levels.append((depth, few(done)))
+        if last:
             break
-        top, depth = depth, min(BITS, depth + STEP)
-    if over:
-        levels[-1][1].extend((p, BITS, sums[p]) for p in over)
-    schema = T.StructType([T.StructField("_p", T.LongType()), T.StructField("_d", T.IntegerType()), T.StructField("_n", T.LongType())])
-    rows = rows.select("*", F.lit(None).cast("int").alias("_depth"), F.lit(None).cast("long").alias("_bytes"))
-    for depth, done in levels:
-        if done:
-            table = spark.createDataFrame(done, schema)
-            rows = rows.join(F.broadcast(table) if len(done) <= broadcast_rows else table, F.when(F.col("_depth").isNull(), F.shiftright("_h", BITS - depth)) == F.col("_p"), "left")
-            rows = rows.withColumns({"_depth": F.coalesce("_depth", "_d"), "_bytes": F.coalesce("_bytes", "_n")}).drop("_p", "_d", "_n")
-    bits = F.when(F.col("_depth") == 0, "").otherwise(F.lpad(F.bin(F.expr(f"shiftright(_h, {BITS} - _depth)")), F.col("_depth"), F.lit("0")))
+        over, top, depth = few(left.select(F.col("q").alias("up"))), depth, min(BITS, depth + STEP)
+    rows = rows.select("*", F.lit(None).cast("int").alias("depth"), F.lit(None).cast("long").alias("shard_bytes"))
+    for at, done in levels:
+        rows = rows.join(done, F.when(F.col("depth").isNull(), F.shiftright("h", BITS - at)) == F.col("q"), "left")
+        rows = rows.withColumns({"depth": F.coalesce("depth", "own_depth"), "shard_bytes": F.coalesce("shard_bytes", "own_bytes")}).drop("q", "own_depth", "own_bytes")
+    bits = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.bin(F.expr(f"shiftright(h, {BITS} - depth)")), F.col("depth"), F.lit("0")))
     rows = rows.withColumn("shard", F.concat(F.lit("s"), bits))
-    out = [*names, "n_bytes", "shard", F.col("_depth").alias("depth"), F.col("_bytes").alias("shard_bytes")]
-    if not over:
+    out = ["row.*", "n_bytes", "shard", "depth", "shard_bytes"]
+    if left.isEmpty():
         return rows.select(*out)
-    full = F.col("_bytes") > limit_bytes
-    shared = rows.where(full).groupBy(*(c for c in rows.columns)).agg(F.count("*").alias("_m"))
+    full, text = F.col("shard_bytes") > limit_bytes, F.coalesce(F.col(f"row.{quoted(text_column)}").cast("string"), F.lit(""))
+    shared = rows.where(full).groupBy("row", "n_bytes", "shard", "depth").agg(F.count("*").alias("copies"))
     fit = F.greatest(F.lit(1), F.floor(F.lit(limit_bytes) / F.greatest("n_bytes", F.lit(1)))).cast("long")
-    copies = shared.withColumn("_fit", fit).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
-    named = F.concat("shard", F.lit("-"), F.substring(F.md5(F.coalesce(F.col(text_column).cast("string"), F.lit(""))), 1, 16), F.lit("-"), F.floor(F.col("_k") / F.col("_fit")).cast("string"))
-    held = F.least(F.col("_fit"), F.col("_m") - F.floor(F.col("_k") / F.col("_fit")) * F.col("_fit")) * F.col("n_bytes")
-    split = copies.select(*names, "n_bytes", named.alias("shard"), F.col("_depth").alias("depth"), held.cast("long").alias("shard_bytes"))
-    return rows.where(~full).select(*out).unionAll(split)
+    copies = shared.withColumn("fit", fit).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    named = F.concat("shard", F.lit("-"), F.substring(F.md5(text), 1, 16), F.lit("-"), F.floor(F.col("k") / F.col("fit")).cast("string"))
+    held = F.least(F.col("fit"), F.col("copies") - F.floor(F.col("k") / F.col("fit")) * F.col("fit")) * F.col("n_bytes")
+    split = copies.select("row", "n_bytes", named.alias("shard"), "depth", held.cast("long").alias("shard_bytes"))
+    return rows.where(~full).select("row", *out[1:]).unionAll(split).select(*out)
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
