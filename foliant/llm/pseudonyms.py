@@ -25,18 +25,38 @@ from foliant.llm.frames import bounded
 ROUNDS = 8
 
 
+class Key(bytes):
+    """A secret; where `back` is set, everything that is done with it is undone instead."""
+
+    back = False
+
+    @classmethod
+    def of(cls, secret: bytes, back: bool = False) -> Key:
+        """Secrets of over 64 bytes count by their digest; an empty one is refused."""
+        if not secret:
+            raise ValueError("the key is empty")
+        out = cls(secret if len(secret) <= 64 else hashlib.blake2b(secret).digest())
+        out.back = back
+        return out
+
+
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
-    """A keyed permutation of 0..size-1; distinct for each tweak."""
+    """A keyed permutation of 0..size-1, distinct for each tweak; its inverse for a Key with `back`."""
     if size < 2:
         return value
     half = (max((size - 1).bit_length(), 2) + 1) // 2
     mask, width = (1 << half) - 1, (half + 7) // 8
+    salt, secret = hashlib.sha256(f"{tweak}/{size}".encode()).digest()[:16], bytes(key)
+
+    def mixed(r: int, part: int) -> int:
+        digest = hashlib.blake2b(part.to_bytes(width, "big"), key=secret, person=bytes([r]), salt=salt, digest_size=32).digest()
+        return int.from_bytes((digest * (width // 32 + 1))[:width], "big") & mask
+
+    back = getattr(key, "back", False)
     while True:
         left, right = value >> half, value & mask
         for r in range(ROUNDS):
-            digest = hashlib.blake2b(right.to_bytes(width, "big"), key=key, person=bytes([r]), salt=hashlib.sha256(f"{tweak}/{size}".encode()).digest()[:16], digest_size=32)
-            f = int.from_bytes((digest.digest() * (width // 32 + 1))[:width], "big") & mask
-            left, right = right, left ^ f
+            left, right = (right ^ mixed(ROUNDS - 1 - r, left), left) if back else (right, left ^ mixed(r, right))
         value = (left << half) | right
         if value < size:
             return value
@@ -180,14 +200,21 @@ def _without(text: str, taken: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def restored(text: str | None, key: bytes) -> str | None:
+    """The text that pseudonymised() got, as long as its pseudonyms alone are found in what it gave."""
+    return pseudonymised(text, Key.of(key, back=True))[0]
+
+
 def pseudonymised(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
     """The text with pseudonyms, and the kinds of what was replaced, in order of place. Earlier kinds win where two overlap."""
     if not text or not _MAYBE.search(text):
         return text, []
     taken: list[tuple[int, int, str, str]] = []
+    covered = bytearray(len(text))
     for name, pattern, how in _FOUND:
         for m in pattern.finditer(_without(text, taken) if name == "phone" else text):
-            if not any(m.start() < e and s < m.end() for s, e, _, _ in taken) and (new := how(m[0], key)) is not None:
+            if covered.find(1, m.start(), m.end()) < 0 and (new := how(m[0], key)) is not None:
+                covered[m.start() : m.end()] = b"\1" * (m.end() - m.start())
                 taken.append((m.start(), m.end(), new, name))
     taken.sort()
     out, at = [], 0
@@ -200,7 +227,7 @@ def pseudonymised(text: str | None, key: bytes) -> tuple[str | None, list[str]]:
 def _replaced(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = [pseudonymised(t, key) for t in batch.column(1).to_pylist()]
+            done = [pseudonymised(t, Key.of(key)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.list_(pa.string()))], names=["id", "text", "kinds"])
 
     return run
@@ -209,9 +236,11 @@ def _replaced(key: bytes):
 def pseudonymise(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, text, kinds) for every row of docs: the text with pseudonyms, and the kind of each in order.
 
-    Null and empty texts stay as they are. Equal values of a kind and format get equal pseudonyms in all
-    rows, distinct ones distinct pseudonyms. Values that don't validate stay.
+    The key is a secret of any length but 0. Null and empty texts stay as they are. Equal values of a kind and format get equal pseudonyms in all
+    rows, distinct ones distinct pseudonyms. Values that don't validate stay. Of overlapping values the
+    kind named first in the list above wins; ties of a kind go to the left one.
     """
+    Key.of(key)
     bounded(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     return rows.mapInArrow(_replaced(key), "id long, text string, kinds array<string>").withColumnsRenamed({"id": id_column, "text": text_column})
