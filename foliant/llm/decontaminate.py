@@ -7,7 +7,9 @@ gives the Burrows-Wheeler transform, kept as a wavelet matrix; windows are found
 the matrix's ranks, all at once, and occurrences located by stepping back to sampled suffix positions.
 Marked words merge into removal spans.
 
-The benchmark is taken in blocks of bounded bytes, each a broadcast; every task applies all of them.
+The benchmark is taken in blocks of bounded bytes, each a broadcast. Every task applies a pass's blocks, 16 at
+most; a larger benchmark takes several passes over the documents, each of which carries on what those before
+it marked, and the broadcasts of a pass are gone before the next one's are made.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.arrays import ALNUM, text_bytes, word_rows, words
-from foliant.llm.frames import bounded
+from foliant.llm.frames import bounded, cut, drop
 
 WINDOW = 13
 SHARD_WORDS = 1_500_000
 BLOCK_BYTES = 4_000_000
+PASS_BLOCKS = 16
 SAMPLE = 8
 
 
@@ -181,68 +184,96 @@ def marks(value: np.ndarray, row: np.ndarray, block: dict) -> tuple[np.ndarray,
     return np.cumsum(change[:n]) > 0, np.unique(np.concatenate(pairs), axis=0)
 
 
-def _found(blocks: list):
-    def shard(ids: list, counts: list, values: list) -> pa.RecordBatch:
-        count = np.concatenate(counts)
-        value = np.concatenate(values)
+_ROWS = "id long, n_words long, spans array<struct<first: long, after: long>>, items array<long>"
+
+
+def _found(blocks: list, carried: bool):
+    """Of rows (id, text), and with what earlier passes found (spans, items): the same with this pass's."""
+
+    def shard(ids: list, counts: list, values: list, before: list) -> pa.RecordBatch:
+        count, value = np.concatenate(counts), np.concatenate(values)
         row = np.repeat(np.arange(len(count)), count)
-        hit, pairs = np.zeros(len(value), dtype=bool), []
+        begin = np.cumsum(count) - count
+        hit, pairs, at = np.zeros(len(value), dtype=bool), [np.zeros((0, 2), dtype=np.int64)], 0
+        for spans, items in before:
+            for k, (own, found) in enumerate(zip(spans.to_pylist(), items.to_pylist(), strict=True), start=at):
+                for x in own:
+                    hit[begin[k] + x["first"] : begin[k] + x["after"]] = True
+                pairs.append(np.array([(k, x) for x in found], dtype=np.int64).reshape(-1, 2))
+            at += len(spans)
         for block in blocks:
             here, found = marks(value, row, block.value)
             hit |= here
             pairs.append(found)
         pairs = np.unique(np.concatenate(pairs), axis=0)
-        begin = np.cumsum(count) - count
         edge = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else hit
         first = np.flatnonzero(hit & (edge | ~np.concatenate([[False], hit[:-1]]))) if len(row) else np.zeros(0, dtype=np.int64)
         last = np.flatnonzero(hit & (np.concatenate([edge[1:], [True]]) | ~np.concatenate([hit[1:], [False]]))) if len(row) else first
         spans = pa.StructArray.from_arrays([pa.array(first - begin[row[first]], pa.int64()), pa.array(last + 1 - begin[row[first]], pa.int64())], names=["first", "after"])
-        at = lambda x: pa.array(np.searchsorted(x, np.arange(len(count) + 1)), pa.int32())
+        place = lambda x: pa.array(np.searchsorted(x, np.arange(len(count) + 1)), pa.int32())
         return pa.RecordBatch.from_arrays([
-            pa.concat_arrays(ids), pa.array(count, pa.int64()), pa.ListArray.from_arrays(at(row[first]), spans),
-            pa.ListArray.from_arrays(at(pairs[:, 0]), pa.array(pairs[:, 1], pa.int64())),
+            pa.concat_arrays(ids), pa.array(count, pa.int64()), pa.ListArray.from_arrays(place(row[first]), spans),
+            pa.ListArray.from_arrays(place(pairs[:, 0]), pa.array(pairs[:, 1], pa.int64())),
         ], names=["id", "n_words", "spans", "items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts, values, total = [], [], [], 0
+        held, total = ([], [], [], [], []), 0
+
+        def done() -> pa.RecordBatch:
+            out = shard(*held[:4])
+            if carried:
+                out = pa.RecordBatch.from_arrays([*out.columns, pa.concat_arrays(held[4])], names=[*out.schema.names, "text"])
+            for part in held:
+                part.clear()
+            return out
+
         for batch in batches:
             for i, j, bound, value in word_rows(batch.column(1), ALNUM):
-                ids.append(batch.column(0).slice(i, j - i))
-                counts.append(np.diff(bound))
-                values.append(value)
+                held[0].append(batch.column(0).slice(i, j - i))
+                held[1].append(np.diff(bound))
+                held[2].append(value)
+                if batch.num_columns > 2:
+                    held[3].append((batch.column("spans").slice(i, j - i), batch.column("items").slice(i, j - i)))
+                if carried:
+                    held[4].append(batch.column(1).slice(i, j - i))
                 total += len(value)
                 if total >= SHARD_WORDS:
-                    yield shard(ids, counts, values)
-                    ids, counts, values, total = [], [], [], 0
-        if ids:
-            yield shard(ids, counts, values)
+                    yield done()
+                    total = 0
+        if held[0]:
+            yield done()
 
     return run
 
 
-def benchmark_blocks(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list:
-    """The benchmark's windows as broadcasts, each made from about block_bytes of text at most."""
-    items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(text_column).cast("string").alias("text")).where("item is not null and text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n, out = int(total // block_bytes) + 1, []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).orderBy("item", "text").collect()
-        out.append(benchmark.sparkSession.sparkContext.broadcast(windows([r[0] for r in rows], [r[1] for r in rows], window)))
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """(id, n_words, spans, items, n_hit) for every row of docs.
 
     spans are the merged ranges of words (first, after) inside occurrences of `window` consecutive words of a
     benchmark item, or of a whole shorter item; items lists the items with occurring windows, ascending. A
     null or wordless text has no words and no hits; repeated rows give repeated results; benchmark rows
     without an id, text or words are ignored, and an empty benchmark hits nothing. Words compare by 64-bit
-    hashes.
+    hashes. Other columns of either table are not used, so their names can't clash.
     """
-    bounded(docs.sparkSession)
-    blocks = benchmark_blocks(benchmark, window=window, block_bytes=block_bytes)
-    found = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).mapInArrow(_found(blocks), "id long, n_words long, spans array<struct<first: long, after: long>>, items array<long>")
+    spark = docs.sparkSession
+    bounded(spark)
+    items = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(item_text_column).cast("string").alias("text")).where("item is not null and text is not null")
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = int(total // block_bytes) + 1
+    found = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
+    previous = None
+    for first in range(0, n, PASS_BLOCKS):
+        blocks, last = [], first + PASS_BLOCKS >= n
+        for k in range(first, min(first + PASS_BLOCKS, n)):
+            rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).orderBy("item", "text").collect()
+            blocks.append(spark.sparkContext.broadcast(windows([r[0] for r in rows], [r[1] for r in rows], window)))
+        found = found.mapInArrow(_found(blocks, not last), _ROWS if last else f"{_ROWS}, text string")
+        if not last:
+            found = cut(found)
+            for block in blocks:
+                block.destroy()
+            drop(previous)
+            previous, found = found, found.select("id", "text", "spans", "items")
     return found.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["after"] - s["first"])).withColumnRenamed("id", id_column)
 
 
