@@ -14,12 +14,16 @@ language hasn't seen (another script, random letters) are in none.
 
 from __future__ import annotations
 
+import html as entities
+import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliant.llm.arrays import slices, text_bytes
 from foliant.llm.frames import bounded, cut
@@ -171,8 +175,31 @@ def page_host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)
 
 
-def page_text(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
+_SKIPPED = re.compile(r"<(?:!--|(script|style)(?=[\s/>]))", re.I)
+_ENDS = {name: re.compile(f"</{name}[^>]*>", re.I) for name in ("script", "style")}
+_TAG = re.compile(r"<[^<>]*>")
+
+
+def visible(html: str) -> str:
+    """Text of a page without comments, scripts, styles and tags, in one run over it; what has no end goes to the end of the page."""
+    out, at = [], 0
+    while found := _SKIPPED.search(html, at):
+        out.append(html[at : found.start()])
+        name = found[1]
+        if name is None:
+            stop = html.find("-->", found.end())
+            at = len(html) if stop < 0 else stop + 3
+        else:
+            stop = _ENDS[name.lower()].search(html, found.end())
+            at = len(html) if stop is None else stop.end()
+    out.append(html[at:])
+    return entities.unescape(_TAG.sub(" ", " ".join(out)))
+
+
+@F.pandas_udf(StringType())
+def page_text(html: pd.Series) -> pd.Series:
+    """visible() of each page; null for null."""
+    return html.map(visible, na_action="ignore")
 
 
 def page_language(html: Column) -> Column:
