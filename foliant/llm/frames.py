@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,10 +11,13 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; only where it is unset (tests) is one made."""
+    """The shared folder that spark.checkpoint.dir names; only where it is unset and Spark is local (tests) is one made."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliant-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="foliant-"))
     return context.getCheckpointDir()
 
 
@@ -26,19 +30,36 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     loops they grow without end.
     """
     path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     (df.coalesce(partitions(df.sparkSession) // 8 + 1) if narrow else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._foliant_path = path
     return out
 
 
+#: By application, the tables that cut() wrote and nobody has deleted.
+_written: dict[str, set[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
 def drop(*frames: DataFrame | None) -> None:
     """Delete tables that cut() wrote and nothing reads any more."""
     for df in frames:
         if df is not None:
-            jvm = df.sparkSession.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(df._foliant_path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(df.sparkSession, df._foliant_path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete all tables that cut() wrote for this application, and say how many. For callers whose results are written: results read from them lazily."""
+    paths = sorted(_written.get(spark.sparkContext.applicationId, set()))
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def bounded(spark: SparkSession, rows: int = 4096, size: str = "4m") -> None:

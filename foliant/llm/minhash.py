@@ -6,7 +6,7 @@ stores the count of leading zeros and the ten bits after the first one. Register
 from registers drawn by a fixed rule (optimal densification), for the bands only. Bands of four
 registers, 32 in all, give candidates: two sets of similarity 0.8 share none with a chance of 5e-8.
 Estimates use the raw registers, corrected for registers that agree by accident, and drop only
-candidates six standard errors under the threshold; the rest is confirmed on full sets.
+candidates eight standard errors under the threshold (a link is so lost with a chance of 1e-13, far below that of sharing no band); the rest is confirmed on full sets.
 
 Not all pairs of a bucket are made. Texts with equal sets are one node. First every node is held
 against the smallest node of each of its buckets; links found so give classes. Then members of a bucket
@@ -82,7 +82,7 @@ def matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
     """Whether pairs of sketches and set sizes can have the similarity."""
     guess, n = matches(a, b)
-    slack = 6 * np.sqrt(similarity * (1 - similarity) / np.maximum(n, 1))
+    slack = 8 * np.sqrt(similarity * (1 - similarity) / np.maximum(n, 1))
     least, most = np.minimum(na, nb), np.maximum(na, nb)
     return (least >= (similarity - 1e-9) * most) & ((guess >= similarity - slack) | (most <= 32))
 

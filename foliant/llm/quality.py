@@ -177,7 +177,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, id_colu
     held_out, an expression over the id, keeps rows from learning; null counts as held out. The network
     learns from about `sample` labelled rows at most, chosen by a hash of the id; word vectors come from
     all texts. Labels other than 0 and 1 are ignored, as is an id with both. A null or wordless text gets
-    the score of an empty one; repeated rows get equal scores. Without labels of both kinds, the score is
+    the score of an empty one; repeated rows get equal scores, and of texts that share a labelled id the one
+    whose vector is least is learnt from. A score of exactly 0.5 predicts 1. Without labels of both kinds, the score is
     the smoothed share of label 1.
     """
     spark = docs.sparkSession
@@ -187,7 +188,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, id_colu
     known = known.where(~F.coalesce(held_out, F.lit(True))).groupBy(F.col(id_column).alias("id")).agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("id", "y")
     n = known.count()
     part = int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    rows = table.join(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part), "id").dropDuplicates(["id"]).select("id", "pooled", "y").toPandas().sort_values("id")
+    rows = table.join(known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < part), "id").groupBy("id").agg(F.min("pooled").alias("pooled"), F.min("y").alias("y")).toPandas().sort_values("id")
     x = np.array(rows["pooled"].tolist(), dtype=np.float64).reshape(len(rows), 2 * SIZE)
     shared = spark.sparkContext.broadcast(Network(x, rows["y"].to_numpy(dtype=np.float64)))
     out = table.mapInArrow(_scored(shared), "id long, score double").withColumnRenamed("id", id_column)
