@@ -207,7 +207,11 @@ def _pairs(blocks: Blocks, block: int, x: np.ndarray, y: np.ndarray, same: bool,
     ux, uy = unit(x), unit(y)
     tx, ty = ux @ blocks.turn, uy @ blocks.turn
     ux, uy, tx, ty = (z.astype(np.float32) for z in (ux, uy, tx, ty))
-    halves = [[(blocks.of(z, b) ** 2).sum(axis=1) / 2 for b in range(blocks.count)] for z in (tx, ty)]
+    one = lambda z: np.ones((len(z), 1), np.float32)
+    half = lambda z, b: -(blocks.of(z, b) ** 2).sum(axis=1, keepdims=True) / 2
+    # Products of these are minus half the squared distance in a block.
+    left = [np.hstack([blocks.of(tx, b), half(tx, b), one(tx)]) for b in range(block + 1)]
+    right = [np.hstack([blocks.of(ty, b), one(ty), half(ty, b)]).T.copy() for b in range(block + 1)]
     exact: list = [None, None]
 
     def turned(side: int, at: np.ndarray) -> np.ndarray:
@@ -222,14 +226,17 @@ def _pairs(blocks: Blocks, block: int, x: np.ndarray, y: np.ndarray, same: bool,
         return lambda i, j: _summed(blocks.of(turned(0, i), b), blocks.of(turned(1, j), b), True) <= blocks.budget[b]
 
     for at in range(0, len(x), step):
-        part = slice(at, at + step)
-        # Minus half the squared distance in a block: products less both halves.
-        reach = lambda b: blocks.of(tx[part], b) @ blocks.of(ty, b).T - halves[0][b][part, None] - halves[1][b]  # noqa: E731, B023
-        near = reach(block) >= -blocks.budget[block] / 2 - blocks.doubt
+        part, first = slice(at, at + step), at if same else 0
+        reach = lambda b: left[b][part] @ right[b][:, first:]  # noqa: E731, B023
+        near = reach(block) >= np.float32(-blocks.budget[block] / 2 - blocks.doubt)
         if same:
-            near &= np.arange(at, at + near.shape[0])[:, None] < np.arange(len(y))
-        dense = np.count_nonzero(near) > 0.02 * near.size
-        i, j = (None, None) if dense else np.nonzero(near)
+            near &= np.arange(near.shape[0])[:, None] < np.arange(near.shape[1])
+        found = np.count_nonzero(near)
+        if not found:
+            continue
+        dense = found > 0.02 * near.size
+        i, j = np.nonzero(near) if not dense else (None, None)
+        j = None if dense else j + first
 
         def decided(value: np.ndarray, edge: float, slow, held: np.ndarray | None) -> np.ndarray:
             """Whether values reach the edge, by slow(i, j) where single precision can't tell; of a matrix, where held."""
@@ -240,11 +247,11 @@ def _pairs(blocks: Blocks, block: int, x: np.ndarray, y: np.ndarray, same: bool,
             else:
                 k, m = np.nonzero(close & held)
                 if len(k):
-                    out[k, m] = slow(at + k, m)  # noqa: B023
+                    out[k, m] = slow(at + k, first + m)  # noqa: B023
             return out
 
         if dense:
-            near &= decided(ux[part] @ uy.T, blocks.threshold, linked, near)
+            near &= decided(ux[part] @ uy[first:].T, blocks.threshold, linked, near)
         else:
             keep = decided(np.einsum("ij,ij->i", ux[at + i], uy[j]), blocks.threshold, linked, None)
             i, j = i[keep], j[keep]
@@ -257,7 +264,9 @@ def _pairs(blocks: Blocks, block: int, x: np.ndarray, y: np.ndarray, same: bool,
                 within = decided(-(d * d).sum(axis=1) / 2, -blocks.budget[b] / 2, apart(b), None)
                 keep = within if b == block else ~within
                 i, j = i[keep], j[keep]
-        i, j = np.nonzero(near) if dense else (i, j)
+        if dense:
+            i, j = np.nonzero(near)
+            j += first
         if len(i):
             yield at + i, j
 
