@@ -31,7 +31,7 @@ def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
     """
     path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
-    (df.coalesce(partitions(df.sparkSession) // 8 + 1) if narrow else df).write.parquet(path)
+    (df.coalesce(partitions(df.sparkSession) // 8 + 1) if narrow else df).write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._foliant_path = path
     return out

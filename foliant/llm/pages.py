@@ -228,61 +228,62 @@ def priors(found: list[tuple[int, int, str, str, int, int]]) -> list[float]:
     return [added[role] for *_, role, _ in found]
 
 
-_PARSED = "page long, url string, host string, row long, print long, blocks array<struct<path: long, prior: double, text: string>>, nodes array<struct<path: long, parent: long, mark: long, new: int>>, styles array<struct<parent: long, style: long>>"
-_BLOCK = pa.struct([("path", pa.int64()), ("prior", pa.float64()), ("text", pa.string())])
-_NODE = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("mark", pa.int64()), ("new", pa.int32())])
+_PARSED = "page long, url string, host string, row long, print long, blocks array<struct<path: long, parent: long, prior: double, text: string>>, styles array<struct<parent: long, style: long>>"
+_BLOCK = pa.struct([("path", pa.int64()), ("parent", pa.int64()), ("prior", pa.float64()), ("text", pa.string())])
 _STYLE = pa.struct([("parent", pa.int64()), ("style", pa.int64())])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
-            part, prints, rows, nodes, styles = batch.slice(at, 200), [], [], [], []
+            part, prints, rows, styles = batch.slice(at, 200), [], [], []
             for html in part.column(3).to_pylist():
                 found = blocks(html or "")
-                own, children, seen, paths = [], {}, {}, set()
+                own, children = [], {}
                 for (place, above, label, text, _, _), prior in zip(found, priors(found), strict=True):
-                    mark = _digest(text)
-                    own.append({"path": place, "prior": prior, "text": text})
+                    own.append({"path": place, "parent": above, "prior": prior, "text": text})
                     children.setdefault(above, []).append(label)
-                    if (place, mark) not in seen:
-                        seen[place, mark] = {"path": place, "parent": above, "mark": mark, "new": int(place not in paths)}
-                        paths.add(place)
                 rows.append(own)
-                nodes.append(list(seen.values()))
                 styles.append([{"parent": k, "style": _digest("|".join(v))} for k, v in children.items()])
-                prints.append(_digest(f"{[(n['path'], n['mark']) for n in nodes[-1]]}"))
-            own = [int.from_bytes(os.urandom(8), "big", signed=True) for _ in rows]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(own, pa.int64()), pa.array(prints, pa.int64()), pa.array(rows, pa.list_(_BLOCK)), pa.array(nodes, pa.list_(_NODE)), pa.array(styles, pa.list_(_STYLE))], names=["page", "url", "host", "row", "print", "blocks", "nodes", "styles"])
-
-
-def _branches(page: DataFrame, by: list[str], weight: float) -> DataFrame:
-    """(by, path, pages, importance) of the style trees over distinct pages: one tree for each value of `by`.
-
-    Texts are first counted by branch and digest, in every task for itself, so a host with most of the pages
-    makes no large group.
-    """
-    once = page.select(*by, F.explode("nodes").alias("b")).groupBy(*by, "b.path", "b.parent", "b.mark").agg(F.count("*").alias("n"), F.sum("b.new").alias("new"))
-    content = once.groupBy(*by, "path", "parent").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("h"), F.sum("new").alias("pages"))
-    shapes = page.select(*by, F.explode("styles").alias("b")).groupBy(*by, "b.parent", "b.style").agg(F.count("*").alias("n"))
-    shown = shapes.groupBy(*by, "parent").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("g"))
+                prints.append(_digest("\0".join(f"{b['path']} {b['text']}" for b in own)))
+            number = [int.from_bytes(os.urandom(8), "big", signed=True) for _ in rows]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(number, pa.int64()), pa.array(prints, pa.int64()), pa.array(rows, pa.list_(_BLOCK)), pa.array(styles, pa.list_(_STYLE))], names=["page", "url", "host", "row", "print", "blocks", "styles"])
+
+
+def _branches(marks: DataFrame, on: DataFrame, shapes: DataFrame, by: list[str], n: str, weight: float) -> DataFrame:
+    """(by, path, pages, importance) of one style tree for each value of `by`, from counts n of its branches' texts, pages and sequences of children."""
+    k = F.sum(n)
+    once = marks.groupBy(*by, "path", "parent", "mark").agg(k.alias("n")).where("n > 0")
+    content = once.groupBy(*by, "path", "parent").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("h"))
+    seen = on.groupBy(*by, "path").agg(k.alias("pages"))
+    shown = shapes.groupBy(*by, "parent", "style").agg(k.alias("n")).where("n > 0").groupBy(*by, "parent").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("g"))
     presentation = F.when(F.col("m") > 1, 1 - F.col("g") / F.col("m") / F.log("m")).otherwise(1.0)
     own = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("h") / F.col("all") / F.log("pages"))).otherwise(1.0)
-    return content.join(shown, [*by, "parent"]).select(*by, "path", "pages", (weight * own + (1 - weight) * presentation).alias("importance"))
+    return content.join(seen, [*by, "path"]).join(shown, [*by, "parent"]).select(*by, "path", "pages", (weight * own + (1 - weight) * presentation).alias("importance"))
 
 
 def importance(parsed: DataFrame, weight: float = 0.9, strength: float = 4.0) -> DataFrame:
     """(host, path, pages, importance) of the branches of the hosts' style trees.
 
     A branch on m pages of its host has its own importance with the weight m - 1, and that of the same path
-    in one tree over all hosts with `strength`, at most one less the pages it was seen on there.
+    in one tree over all hosts with `strength`, at most one less the pages it was seen on there. Of a page's
+    copies on a host one counts, and one of all in the tree over all hosts. Texts are first counted by branch
+    and digest, in every task for itself, so a host with most of the pages makes no large group.
     """
-    page = parsed.select("host", "print", "nodes", "styles").dropDuplicates(["host", "print"])
-    hosts = _branches(page, ["host"], weight)
-    everywhere = _branches(page.dropDuplicates(["print"]), [], weight).select("path", F.least(F.lit(strength), F.col("pages") - 1).alias("k"), F.col("importance").alias("all"))
+    first = parsed.groupBy("host", "print").agg(F.min("row").alias("row"))
+    everywhere = first.groupBy("print").agg(F.min("host").alias("host"), F.lit(1).alias("a"))
+    first = first.join(everywhere, ["print", "host"], "left").select("row", "host", F.coalesce("a", F.lit(0)).alias("a"))
+    nodes = F.array_distinct(F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), b["parent"].alias("parent"), F.xxhash64(b["text"]).alias("mark"))))
+    page = cut(parsed.select("row", "host", nodes.alias("nodes"), "styles").join(first, ["row", "host"]).select("host", "a", "nodes", "styles"))
+    counts = F.count("*").alias("n"), F.sum("a").alias("a")
+    marks = page.select("host", "a", F.explode("nodes").alias("b")).groupBy("host", "b.path", "b.parent", "b.mark").agg(*counts)
+    on = page.select("host", "a", F.explode(F.array_distinct("nodes.path")).alias("path")).groupBy("host", "path").agg(*counts)
+    shapes = page.select("host", "a", F.explode("styles").alias("b")).groupBy("host", "b.parent", "b.style").agg(*counts)
+    hosts = _branches(marks, on, shapes, ["host"], "n", weight)
+    pool = _branches(marks, on, shapes, [], "a", weight).select("path", F.least(F.lit(strength), F.col("pages") - 1).alias("k"), F.col("importance").alias("all"))
     m = F.col("pages") - 1
     drawn = F.when(m + F.col("k") > 0, (m * F.col("importance") + F.col("k") * F.col("all")) / (m + F.col("k"))).otherwise(1.0)
-    return hosts.join(everywhere, "path").select("host", "path", "pages", drawn.alias("importance"))
+    return hosts.join(pool, "path").select("host", "path", "pages", drawn.alias("importance"))
 
 
 def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: float = 0.4, broadcast_rows: int = 200_000) -> DataFrame:
