@@ -151,44 +151,3 @@ def similarity(a: str | None, b: str | None) -> float:
 def description_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """similarity() of two folded descriptions."""
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
-def logical_rows(rows: DataFrame, key: list[str], description: int = 0) -> DataFrame:
-    """Physical rows (key, line_idx, cells) to (key, row_idx, row_type, cells): lines that carry on a row join it.
-
-    Page numbers and blank lines go; a footer ends the table. A line with a description alone joins the row
-    before; figures alone fill its blanks, or stand as a subtotal; a line of the row's own description fills
-    it; a total's label sets the type. The first rule that holds decides, against the row as it stands.
-    """
-
-    plain_ = lambda t: re.sub(r"[^a-z0-9]", "", t.lower())
-
-    def fold(c: Columns, low: int, high: int) -> list[tuple]:
-        out: list[list] = []
-        for raw in c["cells"][low:high]:
-            cells = [x.strip() for x in raw]
-            text = " ".join(x for x in cells if x)
-            if not text or re.fullmatch(r"(?i)page\s*\d+(\s*of\s*\d+)?", text):
-                continue
-            if re.match(r"(?i)(printed (by|on)|end of report|authori[sz]ed signatory)", text):
-                break
-            name, rest = cells[description], [i for i, x in enumerate(cells) if x and i != description]
-            kind = "SUBTOTAL" if re.search(r"(?i)\b(s-total|sub-?total)\b", text) else "TOTAL" if re.search(r"(?i)\btotal\b", name) else "PRODUCT"
-            last = out[-1] if out else None
-            if kind == "PRODUCT" and last is not None:
-                if last[0] == "PRODUCT":
-                    if name and not rest:
-                        last[1][description] = f"{last[1][description]} {name}".strip()
-                        continue
-                    blank = all(not last[1][i] for i in rest)
-                    if blank and (not name or similarity(plain_(name), plain_(last[1][description])) >= 0.85):
-                        for i in rest:
-                            last[1][i] = cells[i]
-                        continue
-                if not name:
-                    kind = "SUBTOTAL"
-            out.append([kind, cells])
-        return [(*(c[k][low] for k in key), i, t, x) for i, (t, x) in enumerate(out)]
-
-    types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return fold_rows(rows.select(*key, "line_idx", "cells"), key, ["line_idx"], fold, f"{', '.join(f'{k} {types[k]}' for k in key)}, row_idx int, row_type string, cells array<string>")

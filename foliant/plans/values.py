@@ -71,20 +71,26 @@ def _markdown(s, d):
     return read(s, d, "conversations").select("conv_id", "turn", F.expr(MARKDOWN.replace("\n", "\\n")).alias("markdown"), "text")
 
 
-FOOTER_RE = "|".join(T.FOOTERS)
-_L = r"list_filter(regexp_split_to_array({t}, '\r\n|\r|\n'), lambda x: NOT regexp_matches(trim(x), '(?i){f}'))"
+_SPLIT = r"regexp_split_to_array({t}, '\r\n|\r|\n')"
 MARKDOWN_SQL = MARKDOWN.replace("\n", "' || chr(10) || '")
 
 
+def _trimmed(t: str) -> str:
+    return rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+
+
 def _footless(t: str) -> str:
-    return "regexp_replace(array_to_string(" + _L.format(t=t, f=FOOTER_RE) + r", chr(10)), '^\s+|\s+$', '', 'g')"
+    return _trimmed(f"array_to_string(list_filter({_SPLIT.format(t=t)}, lambda x: NOT regexp_matches(trim(x), '{T.FOOTER}')), chr(10))")
 
 
 def _plain_sql(t: str) -> str:
     t = _footless(f"regexp_replace({t}, '(?s)<!--.*?-->', '', 'g')")
-    for pattern, to in ((r"(?m)^[-*_]{3,}\s*$", ""), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", r"\1"), (r"\*([^*]+)\*", r"\1"), (r"__([^_]+)__", r"\1"), (r"_([^_]+)_", r"\1"), (r"(?m)^\s*[-*•]\s+", ""), (r"`([^`]+)`", r"\1"), (r"(?m)^\|[\s\-:|]+\|$", ""), (r"\|", " ")):
-        t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
-    return rf"regexp_replace(regexp_replace({t}, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+    t = f"array_to_string(list_transform({_SPLIT.format(t=t)}, lambda x: CASE WHEN regexp_matches(x, '{T.RULED}') THEN '' ELSE regexp_replace(x, '{T.HEADING}', '') END), chr(10))"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '{T.INLINE}', '\\1\\2\\3\\4\\5', 'g')"
+    t = f"list_transform({_SPLIT.format(t=t)}, lambda x: regexp_replace(x, '{T.BULLET}', ''))"
+    t = f"array_to_string(list_transform({t}, lambda x: CASE WHEN regexp_matches(x, '{T.TABLE_RULE}') THEN '' ELSE replace(x, '|', ' ') END), chr(10))"
+    return _trimmed(rf"regexp_replace({t}, '\n\s*\n\s*\n+', chr(10) || chr(10), 'g')")
 
 
 def _answers(s, d):
