@@ -81,7 +81,6 @@ QUERIES = {
     "column_bounds": lambda s, d: _columns(s, d).select("doc_id", "col_idx", "left", "right"),
     "baseline_bands": lambda s, d: L.bands(read(s, d, "supplier").select("s_nationkey", "s_acctbal", "s_suppkey"), ["s_nationkey"], "s_acctbal", F.lit(500.0)).select("s_suppkey", "band"),
     "token_project": lambda s, d: L.projected(_tokens(s, d).withColumn("line_idx", F.floor(F.col("seq") / 4).cast("int")), _columns(s, d)).select("doc_id", "line_idx", F.array_join("cells", "|").alias("cells")),
-    "logical_rows": lambda s, d: L.logical_rows(read(s, d, "part").select(F.floor(F.col("p_partkey") / 10).alias("doc_id"), F.lit(1).alias("page"), (F.col("p_partkey") % 10).cast("int").alias("line_idx"), F.when(F.col("p_partkey") % 5 == 4, F.array(F.lit("extra"), F.lit(""), F.lit(""))).when(F.col("p_partkey") % 10 == 8, F.array(F.lit("Total"), F.lit("1"), F.lit("2"))).otherwise(F.array(F.concat(F.lit("P"), F.col("p_partkey").cast("string")), F.col("p_size").cast("string"), F.lit("7"))).alias("cells")), ["doc_id", "page"]).select("doc_id", "row_idx", "row_type", F.array_join("cells", "|").alias("cells")),
     "description_similarity": lambda s, d: read(s, d, "part").select("p_partkey", F.round(L.description_similarity(F.lit("para500"), F.when(F.col("p_partkey") % 3 == 0, "para500xr").when(F.col("p_partkey") % 3 == 1, "para500").otherwise("para250")), 4).alias("similarity")),
     "cell_compare": lambda s, d: _cells(s, d).groupBy("kind").agg(F.count_if(Q.cell_correct(F.col("kind"), F.col("truth"), F.col("value"))).alias("correct"), F.count("*").alias("cells")),
     "cell_accuracy": lambda s, d: Q.accuracy(_cells(s, d), "l_orderkey"),
@@ -123,8 +122,6 @@ SQL = {
     "weighted_recall": "SELECT l_returnflag, round(sum(l_discount * l_linenumber) / sum(l_linenumber), 4) AS l_discount FROM lineitem GROUP BY 1",
     "anomaly_rules": """WITH t AS (SELECT p_partkey // 10 AS table_id FROM part WHERE p_partkey >= 10 GROUP BY 1 HAVING count(*) = 10) SELECT CAST(table_id AS BIGINT) AS table_id, rule, CAST(place AS BIGINT) AS place
       FROM t, (VALUES ('merged_total', 3), ('no_values', 5), ('leading_zeros', 2001), ('letters_in_figure', 7001), ('repeated_description', 6)) AS r(rule, place)""",
-    "logical_rows": """SELECT CAST(p_partkey // 10 AS BIGINT) AS doc_id, CAST(row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) - 1 AS INT) AS row_idx, CASE WHEN p_partkey % 10 = 8 THEN 'TOTAL' ELSE 'PRODUCT' END AS row_type,
-      CASE p_partkey % 10 WHEN 8 THEN 'Total|1|2' WHEN 9 THEN 'extra||' ELSE 'P' || p_partkey || CASE WHEN p_partkey % 10 = 3 THEN ' extra' ELSE '' END || '|' || p_size || '|7' END AS cells FROM part WHERE p_partkey % 10 <> 4""",
     "match_modes": "SELECT n_nationkey, n_nationkey % 5 <> 0 OR n_name = lower(n_name) AS ok FROM nation",
     "edit_rate": "SELECT p_partkey, round(1 - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type), 1), 4) AS rate FROM part",
     "envelope_fields": """SELECT c_custkey, 'name' AS path, c_name AS value, round(c_custkey % 100 / 100, 2) AS confidence, 0 AS ord, c_custkey % 100 < 60 AS review FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment, .95, 2, false FROM customer

@@ -98,6 +98,8 @@ def _answers(s, d):
     return read(s, d, "conversations").select("conv_id", "turn", a.alias("answer"))
 
 
+_QUOTED_PACKING = cells.PACKING.replace("'", "''")
+
 QUERIES = {
     "number_parse": lambda s, d: _cells(s, d).select("l_orderkey", "l_linenumber", cells.lenient_number(F.col("cell")).alias("lenient"), cells.row_number_value(F.col("cell")).alias("strict"), cells.audit_value(F.col("cell")).alias("audit")),
     "cell_semantic": lambda s, d: _cells(s, d).select("l_orderkey", "l_linenumber", cells.semantic(F.col("cell")).alias("semantic")),
@@ -145,7 +147,7 @@ SQL = {
     "cell_type": f"""{CELLS}, n AS (SELECT *, {NAME_SQL} AS name FROM c) SELECT l_orderkey, l_linenumber, CASE name WHEN 'S.No' THEN 'SERIAL' WHEN 'Unit' THEN 'UNIT' WHEN 'Packing' THEN 'PACKING' WHEN 'Product Name' THEN 'DESCRIPTION' WHEN 'Rate' THEN 'RATE' WHEN 'Total Amount' THEN 'AMOUNT'
       WHEN 'Exp Date' THEN 'DATE' WHEN 'Disc %' THEN 'PERCENTAGE' WHEN 'Free' THEN CASE WHEN contains(cell, '.') AND NOT ends_with(cell, '.00') THEN 'DECIMAL_VALUE' ELSE 'INTEGER_QTY' END WHEN 'Closing Qty' THEN 'DECIMAL_VALUE'
       ELSE CASE WHEN cell = '-' THEN 'DASH_OR_EMPTY' WHEN {_NUM.format(x=_CLEAN)} THEN 'DECIMAL_VALUE' ELSE 'DESCRIPTION' END END AS kind FROM n""",
-    "packing_extract": f"SELECT p_partkey, coalesce(list_filter(regexp_extract_all({DESCRIPTION_SQL}, '(?i){cells.PACKING}'.replace('''', ''''), 1), lambda x: NOT regexp_matches(trim(x), '{cells.STRENGTH}'))[-1], '') AS packing FROM part".replace("'.replace('''', '''')", "'").replace("['’.]", "[.]"),
+    "packing_extract": f"SELECT p_partkey, coalesce(list_filter(regexp_extract_all({DESCRIPTION_SQL}, '(?i){_QUOTED_PACKING}', 1), lambda x: NOT regexp_matches(trim(x), '{cells.STRENGTH}'))[-1], '') AS packing FROM part",
     "absent_markers": f"{CELLS} SELECT l_orderkey, l_linenumber, CASE WHEN lower(trim(cell)) NOT IN ('n/a', '-') THEN cell END AS value FROM c",
     "confusion_fixes": "SELECT l_orderkey, l_linenumber, l_linenumber || '0.5' AS n, l_linenumber || 'x10' AS p FROM lineitem",
     "stock_roles": _stock_sql(),

@@ -59,13 +59,6 @@ def test_similarity():
     assert layout.similarity("abc", "abc") == 1
 
 
-def test_logical_rows(spark):
-    cells = [["P1", "1", ""], ["", "", "9"], ["more", "", ""], ["Total", "1", "9"], ["Page 1 of 2", "", ""], ["Printed by x", "", ""], ["P2", "1", "1"]]
-    df = spark.createDataFrame([(1, i, c) for i, c in enumerate(cells)], "t long, line_idx int, cells array<string>")
-    got = layout.logical_rows(df, ["t"]).orderBy("row_idx").collect()
-    assert [(r.row_type, r.cells) for r in got] == [("PRODUCT", ["P1 more", "1", "9"]), ("TOTAL", ["Total", "1", "9"])]
-
-
 def test_alignment_in_order(spark):
     a = spark.createDataFrame([(1, i, t) for i, t in enumerate(["alpha tab", "beta cap", "gamma gel"])], "k long, idx int, text string")
     b = spark.createDataFrame([(1, 0, "alpha tab"), (1, 1, "gamma gel")], "k long, idx int, text string")
