@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.plans import decisions, extraction, fields, grids, ledger, sanitise, stock, tables, values
+from foliant.plans import decisions, documents, extraction, fields, grids, ledger, sanitise, stock, tables, values
 
-MODULES = (ledger, values, stock, fields, tables, extraction, grids, decisions, sanitise)
+MODULES = (ledger, values, stock, fields, tables, extraction, grids, documents, decisions, sanitise)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

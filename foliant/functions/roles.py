@@ -93,3 +93,59 @@ def unique_headers(headers: Column) -> Column:
         return F.concat(have, F.array(F.when(F.array_contains(have, own), F.element_at(free, 1)).otherwise(own)))
 
     return F.aggregate(F.transform(headers, lambda h, i: F.struct(h.alias("name"), i.alias("i"))), start, add)
+
+
+# Stock roles under other rules: per role its words or patterns, in the order in which a column tries them.
+#: What heals an empty closing: closing is the first column of its words that is no amount; of others the last column counts.
+FILL = {"opening": ("OPEN",), "receipt": ("RECEIPT", "PUR", "INQTY", "RCPT", "RECEV"), "issue": ("ISSUE", "SALE", "OUTQTY", "S A L E"), "closing": ("CLOSING QTY", "CL.STK", "BAL", "C.STK", "CLOSING")}
+#: What heals a row that another bled into: no balance counts as closing, and an amount is one after the issue and before the closing.
+BLEED = FILL | {"closing": ("CLOSING QTY", "CL.STK", "C.STK", "CLOSING")}
+#: What rows must balance: the first column of each role; names of money and rates are none.
+MOVEMENT = {"opening": ("opening", "op.bal", "opbal", "op bal", "o.bal"), "inflow": ("receipt", "purchase", "inward", "in"), "outflow": ("issue", "sale", "dispatch", "outward", "out"), "closing": ("closing", "balance", "bal", "clos")}
+MONEY = ("amount", "amt", "value", "val", "rate")
+#: What audits balance, as patterns.
+AUDIT = {"opening": (r"^op\b", "opening", r"op\.?bal", r"o\.?bal"), "inflow": ("receipt", r"^in\b", "purchase", "inward"), "outflow": ("issue", r"^out\b", "sale", "outward", "dispatch"), "closing": ("closing", "^bal", "balance", "clos")}
+
+
+def _firsts(headers: Column, rules: dict[str, Column]) -> Column:
+    """A map of role to column where each column takes the first role it can that no column before it has."""
+
+    def step(have, each):
+        out = have
+        for role in reversed(rules):
+            free = F.get(each["hits"], F.lit(list(rules).index(role))) & ~F.map_contains_key(have, F.lit(role))
+            out = F.when(free, F.map_concat(have, F.create_map(F.lit(role), each["i"]))).otherwise(out)
+        return out
+
+    hits = F.transform(headers, lambda h, i: F.struct(F.array(*(test(h) for test in rules.values())).alias("hits"), i.alias("i")))
+    return F.aggregate(hits, F.create_map().cast("map<string,int>"), step)
+
+
+def movement_roles(headers: Column, rules: str = "movement") -> Column:
+    """A map of opening, inflow, outflow and closing to columns, under the rules of "movement" or of "audit"."""
+    low = lambda h: F.lower(F.trim(F.coalesce(h, F.lit(""))))
+    if rules == "audit":
+        return _firsts(headers, {r: (lambda h, w=words: low(h).rlike("|".join(w))) for r, words in AUDIT.items()})
+    return _firsts(headers, {r: (lambda h, w=words: (low(h) != "") & ~_any(low(h), *MONEY) & _any(low(h), *w)) for r, words in MOVEMENT.items()})
+
+
+def heal_roles(headers: Column, rules: str = "fill") -> Column:
+    """A map of opening, receipt, issue, closing (and amount, for "bleed") to columns, under the rules of "fill" or of "bleed"."""
+    table = FILL if rules == "fill" else BLEED
+
+    def step(have, each):
+        n, i, put = each["name"], each["i"], lambda role: F.map_concat(F.map_filter(have, lambda k, _: k != role), F.create_map(F.lit(role), each["i"]))
+        no_closing = ~F.map_contains_key(have, F.lit("closing"))
+        closing = F.when(_any(n, *table["closing"]) & ~_any(n, "AMOUNT", "VAL") & no_closing, put("closing")).otherwise(have)
+        amount = n.contains("AMOUNT") & no_closing & (i > F.coalesce(F.element_at(have, F.lit("issue")), F.lit(-1)))
+        closing = F.when(amount, put("amount")).otherwise(closing) if rules == "bleed" else closing
+        out = F.when(_any(n, *table["opening"]), put("opening")).when(_any(n, *table["receipt"]), put("receipt"))
+        return out.when(_any(n, *table["issue"]), put("issue")).otherwise(closing)
+
+    named = F.transform(headers, lambda h, i: F.struct(F.upper(F.coalesce(h, F.lit(""))).alias("name"), i.alias("i")))
+    return F.aggregate(named, F.create_map().cast("map<string,int>"), step)
+
+
+def covers(roles: Column, needed: list[str]) -> Column:
+    """Whether a map of roles has all that are needed."""
+    return F.size(F.array_except(F.array(*(F.lit(r) for r in needed)), F.map_keys(roles))) == 0

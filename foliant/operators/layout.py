@@ -33,13 +33,14 @@ def lined(tokens: DataFrame, policy: str = "image", tolerance: float | None = No
     """tokens with line_idx, from 0 down the page.
 
     image: the nearest line within max(7, 0.55 median height) of its mean that the token doesn't overlap;
-    first: the first line within the tolerance of its first token (3.5 for words of a digital page).
+    first: the first line within the tolerance of its first token (3.5 for words of a digital page);
+    light: the first line within 14 of its mean.
     """
 
     def fold(c: Columns, low: int, high: int) -> np.ndarray:
         x0, x1, y0, y1 = (c[k][low:high].astype(float) for k in ("x0", "x1", "y0", "y1"))
         y = (y0 + y1) / 2
-        reach = tolerance if tolerance is not None else max(7.0, 0.55 * float(np.median(y1 - y0))) if policy == "image" else 3.5
+        reach = tolerance if tolerance is not None else max(7.0, 0.55 * float(np.median(y1 - y0))) if policy == "image" else 14.0 if policy == "light" else 3.5
         mark: list[float] = []
         own: list[list[int]] = []
         line = np.zeros(len(y), dtype=np.int32)
@@ -54,7 +55,7 @@ def lined(tokens: DataFrame, policy: str = "image", tolerance: float | None = No
             if near:
                 k = near[0]
                 own[k].append(t)
-                if policy == "image":
+                if policy != "first":
                     mark[k] += (y[t] - mark[k]) / len(own[k])
             else:
                 k = len(mark)
@@ -75,6 +76,67 @@ def line_rows(tokens: DataFrame) -> DataFrame:
     return out.withColumn("data_like", (F.col("tokens") >= 2) & (F.col("figures") >= 2) & (F.col("figures") >= 0.3 * F.col("tokens")))
 
 
+def light_lines(tokens: DataFrame) -> DataFrame:
+    """(doc_id, page, line_idx, text) of tokens with line_idx: three tokens or more are a row between pipes, two a label and its value."""
+    t = F.sort_array(F.collect_list(F.struct("x0", "seq", "text")))
+    rows = tokens.groupBy(*PAGE, "line_idx").agg(F.transform(t, lambda s: F.trim(s["text"])).alias("t"))
+    piped = F.concat(F.lit("| "), F.array_join("t", " | "), F.lit(" |"))
+    labelled = F.concat(F.lit("**"), F.get("t", F.lit(0)), F.lit("**: "), F.get("t", F.lit(1)))
+    return rows.select(*PAGE, "line_idx", F.when(F.size("t") > 2, piped).when(F.size("t") == 2, labelled).otherwise(F.get("t", F.lit(0))).alias("text"))
+
+
+def page_confidence(tokens: DataFrame) -> DataFrame:
+    """(doc_id, page, tokens, confidence, needs_more): the mean of the tokens' confidences; a page under 0.95 or of fewer than three tokens needs a better reading."""
+    g = tokens.groupBy(*PAGE).agg(F.count("*").alias("tokens"), F.avg("confidence").alias("confidence"))
+    return g.select(*PAGE, "tokens", F.round("confidence", 4).alias("confidence"), (F.coalesce(F.col("confidence") < 0.95, F.lit(True)) | (F.col("tokens") < 3)).alias("needs_more"))
+
+
+def digital_pages(words: DataFrame, fallback: bool = False) -> DataFrame:
+    """(doc_id, page, words, letters, accepted): whether a page's own words are enough: more than 30 words and 50 letters; of a second reader 20 words, seven in ten of them valid."""
+    valid = F.col("text").rlike(r"(?U)^[\w.,:/%&()'\"+*#@\-]+$")
+    g = words.groupBy(*PAGE).agg(F.count("*").alias("words"), F.sum(F.length("text")).alias("letters"), F.avg(valid.cast("double")).alias("valid"))
+    enough = (F.col("words") >= 20) & (F.col("valid") >= 0.7) if fallback else (F.col("words") > 30) & (F.col("letters") > 50)
+    return g.select(*PAGE, "words", "letters", enough.alias("accepted"))
+
+
+def over_bands(tokens: DataFrame, bands: DataFrame, reach: float = 45.0) -> DataFrame:
+    """(doc_id, page, seq, col_idx): each token with every band (center) that it stands over, give or take `reach`. The join is on page, with the range beside it."""
+    t = tokens.select(*PAGE, "seq", (F.col("x0") - reach).alias("_from"), (F.col("x1") + reach).alias("_to"))
+    return t.join(bands.select(*PAGE, "col_idx", "center"), PAGE).where(F.col("center").between(F.col("_from"), F.col("_to"))).select(*PAGE, "seq", "col_idx")
+
+
+def lanes(figures: DataFrame, columns: DataFrame) -> DataFrame:
+    """columns (doc_id, page, col_idx, left, right) with bounds moved into the lane between two columns of figures (doc_id, page, x0, x1).
+
+    A bound moves where the figures of the two columns beside it, four or more of eight on the page, form
+    exactly two groups with a lane of over 3 between them, and the lane's middle is between both columns'
+    outer bounds. Bounds move from left to right, each against those moved before.
+    """
+
+    def fold(c: Columns, low: int, high: int) -> list[tuple]:
+        side = c["side"][low:high]
+        x0, x1, own = (c[k][low:high] for k in ("x0", "x1", "col_idx"))
+        cut = side == 0
+        edges = [[float(a), float(b)] for a, b in zip(x0[cut], x1[cut], strict=True)]
+        spans = np.array(sorted(zip(x0[~cut], x1[~cut], strict=True)), dtype=float).reshape(-1, 2)
+        for k in range(len(edges) - 1 if len(spans) >= 8 else 0):
+            inner = spans[(spans[:, 0] >= edges[k][0] - 2.0) & (spans[:, 1] <= edges[k + 1][1] + 2.0)]
+            if len(inner) < 4:
+                continue
+            reach = np.maximum.accumulate(inner[:, 1])
+            parts = np.flatnonzero(inner[1:, 0] - reach[:-1] > 3.0)
+            if len(parts) == 1:
+                middle = (reach[parts[0]] + inner[parts[0] + 1, 0]) / 2
+                if edges[k][0] < middle < edges[k + 1][1]:
+                    edges[k][1] = edges[k + 1][0] = float(middle)
+        return [(c["doc_id"][low], c["page"][low], int(i), a, b) for i, (a, b) in zip(own[cut], edges, strict=True)]
+
+    number = lambda c: F.col(c).cast("double")
+    rows = columns.select(*PAGE, F.lit(0).alias("side"), F.col("col_idx").cast("int").alias("col_idx"), number("left").alias("x0"), number("right").alias("x1"))
+    words = figures.join(columns.select(*PAGE).distinct(), PAGE, "left_semi").select(*PAGE, F.lit(1).alias("side"), F.lit(0).alias("col_idx"), number("x0").alias("x0"), number("x1").alias("x1"))
+    return fold_rows(rows.unionAll(words), PAGE, ["side", "col_idx"], fold, f"doc_id {columns.schema['doc_id'].dataType.simpleString()}, page {columns.schema['page'].dataType.simpleString()}, col_idx int, left double, right double")
+
+
 def body_start(lines: DataFrame, within: int = 25) -> DataFrame:
     """(doc_id, page, body_start): the first line like data with a second one among the next three; else the first like data; else null."""
     ahead = Window.partitionBy(*PAGE).orderBy("line_idx").rowsBetween(0, 3)

@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def matches(columns: list[str], query: str | None) -> Column:
@@ -23,9 +22,18 @@ def chosen(column: str, value: str | None) -> Column:
 
 
 def search(records: DataFrame, results: DataFrame, columns: list[str], query: str | None = None, doc_type: str | None = None, language: str | None = None) -> DataFrame:
-    """Records with their results, if any, that match; a record without a result still matches by its own columns."""
-    joined = records.join(results, "id", "left")
-    return joined.where(chosen("document_type", doc_type) & chosen("language", language) & matches(columns, query))
+    """Records with their results, if any, that match; a record without a result still matches by its own columns.
+
+    Either side's own columns are read where they lie, so the join carries what the query found in them, and
+    the rest of a record only where it is asked for.
+    """
+    sides = [[c for c in columns if c in df.columns] for df in (records, results)]
+    hit = lambda cols: matches(cols, query) if cols else F.lit(False)
+    left = records.where(chosen("document_type", doc_type)).withColumn("_left", hit(sides[0]))
+    right = results.withColumn("_right", hit(sides[1]))
+    language_ok = chosen("language", language)
+    joined = left.join(right, "id", "left").where((F.col("_left") | F.coalesce("_right", F.lit(not query and bool(sides[1])))) & language_ok)
+    return joined.drop("_left", "_right")
 
 
 def lookup(records: DataFrame, request: str) -> DataFrame:
@@ -45,8 +53,31 @@ def combined_pages(pages: DataFrame, key: str, order: str, text: str, separator:
 
 
 def first_uploads(uploads: DataFrame, name: str, order: str) -> DataFrame:
-    """Uploads with kept: the first of each file name."""
-    return uploads.withColumn("kept", F.row_number().over(Window.partitionBy(name).orderBy(order)) == 1)
+    """Uploads with kept: the first of each file name. A hot name is an aggregate and a join, not a window."""
+    first = uploads.groupBy(F.struct(name).alias("_name")).agg(F.min(order).alias("_first"))
+    return uploads.withColumn("_name", F.struct(name)).join(first, "_name").select(*uploads.columns, (F.col(order) == F.col("_first")).alias("kept"))
+
+
+def dropped_uploads(uploads: DataFrame, name: str, order: str) -> DataFrame:
+    """(name, copies): file names that came more than once, with how many were left out."""
+    return uploads.groupBy(name).agg((F.count_distinct(order) - 1).alias("copies")).where("copies > 0")
+
+
+def active(records: DataFrame) -> DataFrame:
+    """Records that nobody revoked."""
+    return records.where(F.col("revoked_at").isNull())
+
+
+def without_keys(entries: Column, keys: list[str]) -> Column:
+    """A map without some of its keys."""
+    return F.map_filter(entries, lambda k, _: ~k.isin(*keys))
+
+
+def dashboard(records: DataFrame, pages: DataFrame, types: list[str]) -> DataFrame:
+    """One row: documents, pages, and documents of each type, whatever the case of its name; types in lower case are columns."""
+    kind = F.upper(F.trim("document_type"))
+    own = records.agg(F.count("*").alias("documents"), *(F.count_if(kind == t.upper()).alias(t.lower()) for t in types))
+    return own.withColumn("_one", F.lit(1)).join(pages.agg(F.count("*").alias("pages"), F.lit(1).alias("_one")), "_one").drop("_one")
 
 
 def missing(source: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:
@@ -68,8 +99,9 @@ def stored_names(uploads: DataFrame, taken: DataFrame, name: str, order: str) ->
     """File names to store under: the safe name, with eight hex digits before it where it is taken."""
     safe = F.regexp_replace(name, r"[^a-zA-Z0-9_\-.]", "_")
     rows = uploads.withColumn("safe", safe)
-    again = F.row_number().over(Window.partitionBy("safe").orderBy(order)) > 1
-    rows = rows.withColumn("_again", again).join(taken.select(F.col("stored_filename").alias("safe"), F.lit(True).alias("_taken")).distinct(), "safe", "left")
+    first = rows.groupBy("safe").agg(F.min(order).alias("_first"))
+    rows = rows.join(first, "safe").withColumn("_again", F.col(order) > F.col("_first")).drop("_first")
+    rows = rows.join(taken.select(F.col("stored_filename").alias("safe"), F.lit(True).alias("_taken")).distinct(), "safe", "left")
     prefix = F.substring(F.md5(F.concat_ws("/", F.col("safe"), F.col(order).cast("string"))), 1, 8)
     return rows.withColumn("stored_filename", F.when(F.col("_again") | F.coalesce("_taken", F.lit(False)), F.concat_ws("_", prefix, "safe")).otherwise(F.col("safe"))).drop("_again", "_taken", "safe")
 

@@ -103,6 +103,10 @@ QUERIES = {
     "backup_prune": lambda s, d: S.pruned_snapshots(ledger(s, d).select(F.col("document_type").alias("kind"), "created_at", F.col("id").cast("string").alias("name"))).where("kept").select("name"),
 }
 SQL = {
+    "rate_limit_fold": """WITH RECURSIVE h AS (SELECT event_id, user_id % 50 AS client, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events),
+      f AS (SELECT client, n, event_id, CAST(NULL AS DOUBLE) AS a, t AS b, true AS allowed FROM h WHERE n = 1
+        UNION ALL SELECT client, n, event_id, CASE WHEN ok THEN b ELSE a END, CASE WHEN ok THEN t ELSE b END, ok FROM (SELECT h.client, h.n, h.event_id, h.t, f.a, f.b, f.a IS NULL OR h.t - f.a > 3600 AS ok FROM f JOIN h ON h.client = f.client AND h.n = f.n + 1))
+      SELECT event_id, allowed FROM f""",
     "page_slope": f"{LINES} SELECT doc_id, round(median((l_partkey % 5) / 100.0), 6)::DOUBLE * CASE WHEN count(*) * 4 >= 5 THEN 1 ELSE 0 END AS slope FROM l GROUP BY 1",
     "y_cluster": f"{LINES} SELECT doc_id, l_linenumber * 4 + c AS seq, line_idx FROM l, (SELECT unnest(range(0, 4))::INT AS c)",
     "y_cluster_first": f"{LINES} SELECT doc_id, l_linenumber * 4 + c AS seq, line_idx FROM l, (SELECT unnest(range(0, 4))::INT AS c)",

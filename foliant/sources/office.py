@@ -73,8 +73,8 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row_idx, cells) of all workbooks of a folder."""
+def sheet_table(files: DataFrame) -> DataFrame:
+    """(path, sheet, row_idx, cells) of workbooks (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -83,7 +83,12 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"{at}: binary workbooks aren't supported")
                 yield pd.DataFrame([(at, *r) for r in sheet_rows(bytes(content))], columns=["path", "sheet", "row_idx", "cells"])
 
-    return _files(spark, path, "*.xlsx").mapInPandas(run, SHEETS)
+    return files.mapInPandas(run, SHEETS)
+
+
+def read_sheets(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sheet, row_idx, cells) of all workbooks of a folder."""
+    return sheet_table(_files(spark, path, "*.xlsx"))
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

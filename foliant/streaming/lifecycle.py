@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 
 def _admit(times: list[float], log: list[float], limit: int, window: float) -> tuple[list[bool], list[float]]:
@@ -22,15 +24,28 @@ def _admit(times: list[float], log: list[float], limit: int, window: float) -> t
 
 
 def rate_limited(hits: DataFrame, limit: int, window: float = 60.0) -> DataFrame:
-    """Hits (client, ts, ...) with allowed, one client at a time: admission feeds back, so no window function gives it."""
+    """Hits (client, ts, ...) with allowed: admission feeds back, so no window function gives it.
+
+    A task takes its clients' hits in order, batch by batch, and holds no more than the log of the client at
+    hand. Equal times come in order of the other columns.
+    """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hits.schema)
+    rest = [c for c in hits.columns if c not in ("client", "ts")]
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["ts", *[c for c in own.columns if c not in ("ts", "client")]])
-        seconds = (own["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()
-        return own.assign(allowed=_admit(seconds, [], limit, window)[0])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, log = (), []
+        for frame in frames:
+            out = []
+            for own, part in frame.groupby("client", sort=False, dropna=False):
+                own = None if pd.isna(own) else own
+                log = log if own == client else []
+                client = own
+                allowed, log = _admit((part["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist(), log, limit, window)
+                out.append(part.assign(allowed=allowed))
+            if out:
+                yield pd.concat(out)
 
-    return hits.groupBy("client").applyInPandas(fold, f"{kinds}, allowed boolean")
+    return hits.repartition("client").sortWithinPartitions("client", "ts", *rest).mapInPandas(run, f"{kinds}, allowed boolean")
 
 
 def rate_limited_stream(hits: DataFrame, limit: int, window: float = 60.0, late: str = "10 seconds") -> DataFrame:
@@ -83,7 +98,14 @@ def ingest(spark: SparkSession, landing: str, target: str, checkpoint: str):
 
 
 def pruned_snapshots(snapshots: DataFrame, keep: int = 14) -> DataFrame:
-    """Backups with kept: the newest of each kind."""
-    from pyspark.sql.window import Window
+    """Backups with kept: the newest of each kind. Only each task's newest of a kind are sorted together."""
+    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("created_at"), F.desc("name")))
+    newest = snapshots.withColumn("_rank", rank).where(F.col("_rank") <= keep).select("kind", "created_at", "name").distinct().withColumn("_kept", F.lit(True))
+    return snapshots.join(newest, ["kind", "created_at", "name"], "left").select(*snapshots.columns, F.coalesce("_kept", F.lit(False)).alias("kept"))
+
 
-    return snapshots.withColumn("kept", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("created_at"), F.desc("name"))) <= keep)
+def write_snapshot(records: DataFrame, path: str, taken_at: str) -> str:
+    """A dump of records as a table of its own under path; its folder's name, which pruned_snapshots() takes."""
+    name = f"{path}/{re.sub('[^0-9]', '', taken_at)}"
+    records.write.mode("errorifexists").parquet(name)
+    return name
