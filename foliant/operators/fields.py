@@ -58,11 +58,12 @@ def verdicts(fields: DataFrame) -> DataFrame:
     return fields.where(F.trim(value) != "").withColumn("status", status)
 
 
-def verification(verdict: DataFrame, documents: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per document (key, legible): counts of statuses, confidence, and whether it needs review."""
+def verification(verdict: DataFrame, documents: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """Per document: counts of statuses, confidence, and whether it needs review. legible comes with the verdicts; documents (key, legible) adds those without a field."""
     n = {s: F.count_if(F.col("status") == s).alias(s) for s in ("exact", "verified", "unchecked", "flagged")}
-    counts = verdict.groupBy(key).agg(F.count("*").alias("fields"), *n.values())
-    out = documents.select(key, "legible").join(counts, key, "left").fillna(0, ["fields", *n])
+    out = verdict.groupBy(key).agg(F.bool_and("legible").alias("legible"), F.count("*").alias("fields"), *n.values())
+    if documents is not None:
+        out = documents.select(key, "legible").join(out.drop("legible"), key, "left").fillna(0, ["fields", *n])
     checked = F.col("exact") + F.col("verified") + F.col("flagged")
     score = F.when(~F.col("legible"), 0.1).when(F.col("fields") == 0, 0.3).when(checked == 0, 0.5).otherwise(F.round((F.col("exact") + F.col("verified")) / checked, 2))
     return out.withColumns({"confidence": score, "needs_review": (F.col("flagged") > 0) | ~F.col("legible") | (F.col("fields") == 0)})

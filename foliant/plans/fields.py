@@ -45,7 +45,7 @@ def _routed(s, d):
 
 QUERIES = {
     "field_verdicts": lambda s, d: O.verdicts(_fields(s, d)).select("doc_id", "path", "status"),
-    "grounding": lambda s, d: O.verification(O.verdicts(_fields(s, d)), _fields(s, d)),
+    "grounding": lambda s, d: O.verification(O.verdicts(_fields(s, d))),
     "legibility": lambda s, d: _pages(s, d).select("doc_id", O.legible(F.col("text"), F.col("w"), F.col("h")).alias("legible")),
     "cross_field": lambda s, d: _fields(s, d).select("doc_id", F.coalesce(O.conflicts(F.col("path"), F.col("value"), F.col("fields")), F.lit(False)).alias("conflict")),
     "classify_type": lambda s, d: _names(s, d).select("event_id", O.classified(F.col("name"), F.col("asked")).alias("c")).select("event_id", "c.document_type", "c.confidence"),
