@@ -5,7 +5,9 @@ stands before the first word and is a class of its own.
 
 Counting. Texts are dealt to shards by their id. Each shard sends its distinct words' counts, packed and
 cut by hash range; a range's task adds them up over all shards and sends the totals back in the same
-order, so that a shard gets the corpus counts of its own words and nobody holds the vocabulary.
+order, so that a shard gets the corpus counts of its own words and nobody holds the vocabulary. Shards and
+ranges both follow the input, and a shard sends a row to each range that it has words of: never more rows
+than it has distinct words, so what is shuffled grows with the input and no faster.
 
 Classes. The `head` most frequent words are items of their own; all other words, unseen ones too, are at
 first items by spelling (last two bytes and length). Exchange clustering on the items' bigram counts, on
@@ -402,7 +404,7 @@ def brown_scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0)).alias("ends")).first()
     shards, ranges = int(size["bytes"] // shard_bytes) + 1, _power_of_two(int(size["bytes"] // range_bytes) + 16)
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
     counted = rows.groupBy("shard").applyInArrow(_shard_counts(ranges), "shard long, range long, words binary, counts binary, items binary")
     totals = cut(counted.groupBy("range").applyInArrow(_range_totals(head), "kind string, shard long, range long, packed binary"))
     figures = np.zeros((4, SPELLINGS), dtype=np.int64)

@@ -349,24 +349,3 @@ def test_pseudonyms_link(spark, empty):
     ip = re.search(r"[\d.]+\d", got[0].text)[0]
     assert len(got) == 5 and ip != "10.2.3.4" and ip in got[2].text and got[3].text is None and got[4].text == ""
     assert pseudonymise(empty, b"k").count() == 0
-
-
-def test_pipeline(spark, tmp_path):
-    """Against brute force, stage by stage."""
-    import corpus_pipeline
-
-    rng = np.random.default_rng(8)
-    vocabulary = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(300)]
-    make = lambda n: " ".join(rng.choice(vocabulary, n))
-    passage = make(40)
-    rows = [(i, make(60), "en", f"s{i % 3}", 0) for i in range(60)]
-    rows += [(100, rows[0][1], "en", "s0", 0), (101, rows[1][1] + " tail", "en", "s1", 0), (102, passage, "en", "s2", 0), (103, "12 34 !!", "en", "s1", 0), (104, None, "en", "s1", 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    want = [{*range(60), 100, 101, 102}, {*range(60), 102}, {*range(60)}]
-    for (_, stage), ids in zip(corpus_pipeline.STAGES, want, strict=False):
-        docs = stage(spark, docs, str(tmp_path))
-        assert {r.doc_id for r in docs.collect()} == ids and docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r.doc_id for r in out.collect()} <= want[2] and {"shard", "depth"} <= set(out.columns)
