@@ -11,9 +11,11 @@ candidates eight standard errors under the threshold (a link is so lost with a c
 Not all pairs of a bucket are made. Texts with equal sets are one node. First every node is held
 against the smallest node of each of its buckets; links found so give classes. Then members of a bucket
 whose classes differ are compared by sketches, in tiles of bounded size. Tiles return no pairs but, for
-each node, the smallest one that it reaches; nodes so tied are a bundle, and whole sets of a bundle's
-members of different classes are compared, again in tiles. So no link between different classes is lost
-whatever the size of a bucket, and no step makes a row for each pair.
+each node, the smallest one that it reaches; nodes so tied are a bundle. In every bundle all members are
+held against one of them, drawn anew in each of two rounds, which joins most classes at the cost of a row a
+member. What is left are members of small classes: their whole sets are compared with those of all members
+of the bundle, in tiles of bounded rows and shingles, so a large class meets the others but not itself. So no
+link between different classes is lost whatever the size of a bucket, and no step makes a row for each pair.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from foliant.llm.frames import bounded, cut, maybe_in
 
 REGISTERS, ROWS, MANTISSA, REST = 128, 4, 10, 57
 BANDS = REGISTERS // ROWS
-TILE, BUNDLE = 1024, 384
+TILE, BUNDLE, BUNDLE_SHINGLES, PEELS = 1024, 128, 200_000, 2
 _LOWEST = (np.arange(REGISTERS, dtype=np.uint64) << np.uint64(REST)).astype(np.uint64)
 _DONORS = (mix(np.arange(1, REGISTERS * 96 + 1, dtype=np.uint64)) >> np.uint64(REST)).astype(np.int64).reshape(96, REGISTERS)
 _BAND = mix(np.arange(1000, 1000 + REGISTERS, dtype=np.uint64)) | np.uint64(1)
@@ -199,41 +201,44 @@ def _crossed(similarity: float):
     return run
 
 
-def shared_counts(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by products of blocks of the incidence matrix."""
-    n, sizes = len(sets), np.array([len(s) for s in sets])
-    value, column = np.unique(np.concatenate(sets), return_inverse=True)
-    row, often = np.repeat(np.arange(n), sizes), np.bincount(column, minlength=len(value))
-    number = np.cumsum(often > 1) - 1
-    keep = often[column] > 1
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right, by products of blocks of the incidence matrix."""
+    n, m = len(left), len(right)
+    out = np.zeros((n, m), dtype=np.float32)
+    value, column = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(n + m), [len(s) for s in (*left, *right)])
+    both = (np.bincount(column[row < n], minlength=len(value)) > 0) & (np.bincount(column[row >= n], minlength=len(value)) > 0)
+    number, keep = np.cumsum(both) - 1, both[column]
     row, column = row[keep], number[column[keep]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    out = np.zeros((n, n), dtype=np.float32)
-    for at in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+    for at in range(0, int(both.sum()), width):
         low, high = np.searchsorted(column, [at, at + width])
-        block = np.zeros((n, width), dtype=np.float32)
+        block = np.zeros((n + m, width), dtype=np.float32)
         block[row[low:high], column[low:high] - at] = 1
-        out += block @ block.T
+        out += block[:n] @ block[n:].T
     return out
 
 
 def _held(size: int, percent: int):
-    """Of each tile of a bundle, confirmed links between members whose classes differ, on whole sets."""
+    """Of each tile of a bundle, confirmed links between its sides' members whose classes differ, on whole sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["bundle", "x", "y"]):
             ids, label, side = (table.column(k).to_numpy() for k in ("id", "label", "side"))
-            lone, tile = table.column("x").to_numpy() == table.column("y").to_numpy(), _groups(table, ["bundle", "x", "y"])
+            tile = _groups(table, ["bundle", "x", "y"])
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for low, high in zip(edges := np.flatnonzero(np.diff(tile, prepend=-1)), [*edges[1:], len(tile)], strict=True):
                 sets = list(_sets(table.column("text").slice(low, high - low), size))
-                n, both = np.array([len(s) for s in sets]), shared_counts(sets)
-                ok = (100 * both >= percent * (n[:, None] + n - both)) & (both > 0) & (label[low:high, None] < label[low:high])
-                ok &= lone[low] | (side[low:high, None] != side[low:high])
+                first, second = (np.flatnonzero(side[low:high] == k) for k in (0, 1))
+                if not len(first) or not len(second):
+                    continue
+                both = shared_counts([sets[k] for k in first], [sets[k] for k in second])
+                n = np.array([len(s) for s in sets])
+                ok = (100 * both >= percent * (n[first][:, None] + n[second] - both)) & (both > 0) & (label[low + first][:, None] != label[low + second])
                 i, j = np.nonzero(ok)
-                a.append(ids[low + i])
-                b.append(ids[low + j])
+                a.append(ids[low + first[i]])
+                b.append(ids[low + second[j]])
             if (out := _forest(np.concatenate(a), np.concatenate(b))) is not None:
                 yield out
 
@@ -247,6 +252,18 @@ def _tiled(members: DataFrame, key: str, size: int) -> DataFrame:
     return rows.withColumns({"x": F.least("_t", "_o"), "y": F.greatest("_t", "_o"), "side": (F.col("_t") < F.col("_o")).cast("int")}).drop("_tiles", "_t", "_o")
 
 
+def _against_others(bundle: DataFrame) -> DataFrame:
+    """Members of bundles (bundle, id, label, n) dealt to tiles: members outside the largest class of their bundle (side 0) against all members (side 1)."""
+    sizes = bundle.groupBy("bundle", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = lambda c, s: F.greatest(F.lit(1), F.ceil(c / F.lit(BUNDLE)), F.ceil(s / F.lit(BUNDLE_SHINGLES))).cast("int")
+    whole = sizes.groupBy("bundle").agg(F.max_by(F.struct("label", "c", "s"), F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    whole = whole.select("bundle", F.col("most.label").alias("large"), parts(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s")).alias("px"), parts(F.col("c"), F.col("s")).alias("py"))
+    rows = bundle.join(whole, "bundle").withColumns({"ix": F.pmod(F.xxhash64("id"), F.col("px")).cast("int"), "iy": F.pmod(F.xxhash64("id", F.lit(1)), F.col("py")).cast("int")})
+    other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    small = rows.where("label <> large").select("bundle", "id", "label", F.col("ix").alias("x"), other("py").alias("y"), F.lit(0).alias("side"))
+    return small.unionAll(rows.select("bundle", "id", "label", other("px").alias("x"), F.col("iy").alias("y"), F.lit(1).alias("side")))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row of docs.
 
@@ -255,8 +272,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     blank text has the empty set and links with nothing; a row whose id is null has a null component and is
     kept. Other columns of docs are not used, so their names can't clash.
     """
-    similarity = percent / 100
-    bounded(docs.sparkSession)
+    similarity, spark = percent / 100, docs.sparkSession
+    bounded(spark)
     ids = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     sk = cut(ids.mapInArrow(_sketched(size), "id long, n long, low long, high long, regs binary"))
     same = ["n", "low", "high"]
@@ -268,14 +285,18 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = cut(keyed.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), narrow=True)
 
     ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("a"))
-    some = maybe_in(own.select("id", "n", "regs"), "id", ends(pairs))
-    sketch = lambda side: some.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
-    pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_filtered(similarity), "a long, b long")
-    pairs = cut(pairs, narrow=True)
-    some = maybe_in(ids, "id", ends(pairs))
-    text = lambda side: some.select(F.col("id").alias(side), F.col("text").alias(f"t{side}"))
-    texts = pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb")
-    first = cut(texts.mapInArrow(_confirmed(size, percent), "a long, b long").unionAll(twins))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, b), already cut: by sketches first, what they allow on whole sets."""
+        some = maybe_in(own.select("id", "n", "regs"), "id", ends(pairs))
+        sketch = lambda side: some.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("regs").alias(f"r{side}"))
+        pairs = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_filtered(similarity), "a long, b long")
+        pairs = cut(pairs, narrow=True)
+        given = maybe_in(ids, "id", ends(pairs))
+        text = lambda side: given.select(F.col("id").alias(side), F.col("text").alias(f"t{side}"))
+        return pairs.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirmed(size, percent), "a long, b long")
+
+    first = cut(confirmed(pairs).unionAll(twins))
     label = cut(components(first), narrow=True)
     classed = cut(keyed.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")), narrow=True)
     mixed = classed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
@@ -283,13 +304,30 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     member = member.join(maybe_in(own.select("id", "n", "regs"), "id", member.select("id")), "id")
     crossed = member.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_crossed(similarity), "a long, b long")
     bundle = components(crossed).withColumnRenamed("component", "bundle")
-    bundle = cut(bundle.join(label, "id", "left").select("bundle", "id", F.coalesce("component", "id").alias("label")), narrow=True)
-    full = maybe_in(ids, "id", bundle.select("id"))
-    held = _tiled(bundle, "bundle", BUNDLE).join(full, "id").select("bundle", "x", "y", "side", "id", "label", "text")
-    between = held.repartition("bundle", "x", "y").sortWithinPartitions("bundle", "x", "y").mapInArrow(_held(size, percent), "a long, b long")
-    name = lambda side: label.select(F.col("id").alias(side), F.col("component").alias(f"l{side}"))
-    between = between.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    merged = components(between).select(F.col("id").alias("class"), F.col("component").alias("whole"))
+    bundle = bundle.join(own.select("id", "n"), "id").join(label, "id", "left").select("bundle", "id", "n", F.coalesce("component", "id").alias("start"))
+    bundle = cut(bundle.withColumn("label", F.col("start")), narrow=True)
+    name = lambda side: bundle.select(F.col("id").alias(side), F.col("start").alias(f"l{side}"))
+    classes = lambda links: links.join(name("a"), "a").join(name("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    between = None
+    for k in range(PEELS + 1):
+        if bundle.isEmpty():
+            break
+        if k < PEELS:
+            chosen = bundle.groupBy("bundle").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(k))).alias("lead"))
+            some = bundle.join(chosen, "bundle").where("label <> lead.label").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+            found = classes(confirmed(cut(some, narrow=True)))
+        else:
+            full = maybe_in(ids, "id", bundle.select("id"))
+            held = _against_others(bundle).join(full, "id").select("bundle", "x", "y", "side", "id", "label", "text")
+            found = classes(held.repartition("bundle", "x", "y").sortWithinPartitions("bundle", "x", "y").mapInArrow(_held(size, percent), "a long, b long"))
+        found = cut(found, narrow=True)
+        between = found if between is None else between.unionAll(found)
+        merged = cut(components(between), narrow=True)
+        if k < PEELS:
+            bundle = bundle.join(merged.select(F.col("id").alias("start"), "component"), "start", "left").select("bundle", "id", "n", "start", F.coalesce("component", "start").alias("label"))
+            open_ = bundle.groupBy("bundle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bundle")
+            bundle = cut(bundle.join(open_, "bundle", "left_semi"), narrow=True)
+    merged = spark.createDataFrame([], "class long, whole long") if between is None else merged.select(F.col("id").alias("class"), F.col("component").alias("whole"))
     out = sk.select("id", "n").join(label, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     out = out.join(merged, "class", "left").withColumn("component", F.coalesce("whole", "class"))
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -109,12 +109,17 @@ def test_near_duplicates(docs, texts, empty):
     assert near_duplicates(empty).count() == 0
 
 
-def test_links_between_classes_are_not_lost(spark):
-    """Texts that chain: the first of a bucket links with few of it."""
+@pytest.mark.parametrize(("peels", "bundle", "shingles"), [(2, 128, 200_000), (0, 5, 200_000), (0, 128, 150), (1, 3, 90)])
+def test_links_between_classes_are_not_lost(spark, monkeypatch, peels, bundle, shingles):
+    """Texts that chain: the first of a bucket links with few of it. Rounds and tiles of any size find the same."""
+    import foliant.llm.minhash as m
+
+    for name, value in (("PEELS", peels), ("BUNDLE", bundle), ("BUNDLE_SHINGLES", shingles)):
+        monkeypatch.setattr(m, name, value)
     w = [f"w{i}" for i in range(400)]
-    rows = [(i, " ".join(w[i * 3 : i * 3 + 40])) for i in range(100)]
+    rows = [(i, " ".join(w[i * 3 : i * 3 + 40])) for i in range(100)] + [(200 + i, " ".join(f"v{j}" for j in range(i * 20, i * 20 + 60))) for i in range(30)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=4).collect()
-    assert {r.component_id for r in got} == {0}
+    assert {r.component_id for r in got if r.doc_id < 200} == {0} and all(r.kept for r in got if r.doc_id >= 200)
 
 
 def test_contamination(spark, docs, texts, empty):
