@@ -105,13 +105,56 @@ def valid_date(c: Column) -> Column:
     return F.coalesce(parsed | c.rlike(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"), F.lit(False))
 
 
+# Words of a period's line, and of titles, which name nobody.
+PERIOD_WORDS = ["FROM", "PERIOD", "DATE", "TO ", "MONTH", "FOR THE"]
+TITLE_WORDS = ["STATEMENT", "REPORT", "ANALYSIS", "PAGE", "STOCK"]
+
+
 def header_metadata(text: Column, first: int = 20) -> Column:
-    """A struct (company, period) from a report's first lines: the first with a company's word, the first date range."""
-    lines = F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("|")), 1, first)
-    firm = F.filter(lines, lambda x: x.rlike(r"(?i)\b(pvt|ltd|limited|agencies|distributors?|pharma|traders|enterprises|medical|stores|&\s*co)\b"))
-    date = r"[0-9]{1,2}[-/.][0-9A-Za-z]{1,3}[-/.][0-9]{2,4}"
-    period = F.regexp_extract(F.array_join(lines, "\n"), rf"(?i)({date}\s*(?:to|-|till)\s*{date})", 1)
-    return F.struct(F.get(firm, F.lit(0)).alias("company"), F.nullif(period, F.lit("")).alias("period"))
+    """A struct (distributor, company, period) from a report's first lines.
+
+    The period is the first line with one of its words; of the others that are no titles the first names the
+    distributor, the next one the company. A row of a table with one filled cell, and no figure at its end,
+    is printed as the company's heading and goes before a line. Headings count without their marks.
+    """
+    raw = F.split(F.coalesce(text, F.lit("")), "\r\n|\r|\n")
+    lines = F.transform(F.slice(raw, 1, first), lambda x: F.trim(F.regexp_replace(F.trim(x), "^#+", "")))
+    lines = F.filter(lines, lambda x: (x != "") & ~x.startswith("|") & ~x.startswith("---"))
+    timed = lambda x: F.upper(x).rlike("|".join(PERIOD_WORDS))
+    names = F.filter(lines, lambda x: ~timed(x) & (F.length(x) > 3) & ~F.upper(x).rlike("|".join(TITLE_WORDS)))
+    cells = lambda x: F.filter(F.transform(F.split(F.regexp_replace(F.trim(x), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+    alone = F.transform(F.filter(raw, lambda x: F.trim(x).startswith("|") & ~F.trim(x).rlike(r"^[|\- ]*$")), cells)
+    banner = F.filter(alone, lambda c: (F.size(c) == 1) & (F.length(F.get(c, F.lit(0))) > 3) & ~F.get(c, F.lit(0)).rlike(r"[0-9][0-9,.]*$"))
+    company = F.coalesce(F.get(F.get(banner, F.lit(0)), F.lit(0)), F.get(names, F.lit(1)))
+    return F.struct(F.get(names, F.lit(0)).alias("distributor"), company.alias("company"), F.get(F.filter(lines, timed), F.lit(0)).alias("period"))
+
+
+def subtotals_filled(rows: DataFrame, key: str, order: str, quantities: list[str]) -> DataFrame:
+    """Opt-in repair: rows (key, order, label, quantities) where a product and its own subtotal under it fill each other's blanks; filled_from says which did.
+
+    They belong together where one label holds the other, or the subtotal has none and one of both has what
+    the other lacks. A row is a subtotal by any of its texts.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    sub = F.lower(F.concat_ws(" ", "label", *quantities)).rlike("s-total|sub-?total")
+    name = folded(F.regexp_replace(F.lower(F.coalesce("label", F.lit(""))), "s-total|sub-?total", ""))
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    r = rows.withColumns({"_sub": sub, "_name": name})
+    lack = None
+    for q in quantities:
+        one = blank(F.col(q)) != blank(F.lead(q).over(w))
+        lack = one if lack is None else lack | one
+    after = F.lead("_name").over(w)
+    held = (F.col("_name") != "") & (after != "") & (after.contains(F.col("_name")) | F.col("_name").contains(after))
+    r = r.withColumn("_pair", F.coalesce(~F.col("_sub") & F.lead("_sub").over(w) & (held | ((after == "") & lack)), F.lit(False)))
+    down, up = F.col("_pair"), F.coalesce(F.lag("_pair").over(w), F.lit(False))
+    other = {q: F.when(down, F.lead(q).over(w)).when(up, F.lag(q).over(w)) for q in quantities}
+    new = {q: F.when(blank(F.col(q)) & ~blank(other[q]), other[q]).otherwise(F.col(q)) for q in quantities}
+    changed = None
+    for q in quantities:
+        one = blank(F.col(q)) & ~blank(other[q]) & (down | up)
+        changed = one if changed is None else changed | one
+    return r.select(key, order, "label", *(new[q].alias(q) for q in quantities), F.when(changed, F.when(down, "subtotal").otherwise("product")).alias("filled_from"))
 
 
 def json_export(filename: Column, kind: Column, project: Column, data: Column, markdown: Column) -> Column:

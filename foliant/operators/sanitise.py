@@ -52,3 +52,79 @@ def expiry_apart(cell: Column) -> Column:
     """A struct (quantity, expiry): a cell like 12/6/27 is a quantity and a month; others have no expiry."""
     q, e = F.regexp_extract(cell, r"^\s*([0-9]+)/([0-9]{1,2}/[0-9]{2})\s*$", 1), F.regexp_extract(cell, r"^\s*([0-9]+)/([0-9]{1,2}/[0-9]{2})\s*$", 2)
     return F.struct(F.when(e != "", q).otherwise(cell).alias("quantity"), F.nullif(e, F.lit("")).alias("expiry"))
+
+
+# What shows a note about batches among a table's cells.
+BATCH_NOTE = r"(?i)(batch\s*(?:no\.?|number)|expiry\s*with\s*in|mfg\s*date|exp\s*date)"
+
+
+def without_sublines(headers: Column, rows: Column) -> Column:
+    """A struct (rows, notes): rows that are only notes about the item above go, and notes within cells give way to the quantity they state.
+
+    A row with a note is such a subline if the table numbers its rows and this one has no number, or if it
+    names the item above again. notes holds their texts in order.
+    """
+    numbered = F.exists(F.slice(headers, 1, 2), lambda h: F.upper(h).rlike("SL|S\\.NO|SR"))
+    number = lambda r: _cell(r, 0).rlike("^[0-9]+$")
+    noted = lambda c: c.rlike(BATCH_NOTE)
+    stated = lambda c: F.regexp_extract(c, r"(?i)quantity:?\s*([0-9]+)", 1)
+    cleaned = lambda c: F.when(~noted(c), c).when(stated(c) != "", stated(c)).when(c.rlike("(?i)expiry|month"), "0").otherwise("")
+
+    def step(have, raw):
+        r = F.transform(raw, lambda c: F.coalesce(F.trim(c), F.lit("")))
+        again = (have["item"] != "") & (F.upper(_cell(r, 0)).contains(F.upper(have["item"])) | F.upper(_cell(r, 1)).contains(F.upper(have["item"]))) & ~(numbered & number(r))
+        subline = F.exists(r, noted) & ((numbered & ~number(r)) | again)
+        texts = F.filter(r, lambda c: noted(c) | (subline & (F.length(c) > 10) & ~c.rlike(r"^[0-9\s.,\-]+$")))
+        own = F.transform(r, cleaned)
+        name = F.when(numbered & number(r), _cell(own, 1)).otherwise(_cell(own, 0))
+        item = F.when(~subline & (F.size(r) > 1) & (F.length(name) > 2) & ~name.rlike("^[0-9]+$"), name).otherwise(have["item"])
+        kept = F.when(subline, have["rows"]).otherwise(F.concat(have["rows"], F.array(own)))
+        return F.struct(item.alias("item"), kept.alias("rows"), F.concat(have["notes"], texts).alias("notes"))
+
+    start = F.struct(F.lit("").alias("item"), F.array().cast("array<array<string>>").alias("rows"), F.array().cast("array<string>").alias("notes"))
+    return F.aggregate(rows, start, step, lambda a: F.struct(a["rows"].alias("rows"), a["notes"].alias("notes")))
+
+
+def value_recovered(headers: Column, rows: Column, first: int = 10) -> Column:
+    """A struct (headers, rows): a stock table whose rows end in a quantity and an amount, under a header without a value, gets that column.
+
+    Of rows of twelve cells or more that end so and are too short, the blanks go, and zeros stand in for what
+    is missing before the amount, where it is the ninth cell or later. Other rows stay.
+    """
+    amount, whole = r"^[0-9]+\.[0-9]{2}$", "^[0-9]+$"
+    full = lambda r: F.filter(F.transform(r, lambda c: F.coalesce(F.trim(c), F.lit(""))), lambda c: c != "")
+    ends = lambda f: F.element_at(f, -1).rlike(amount) & F.element_at(f, -2).rlike(whole)
+    least = lambda r, n: F.coalesce(F.when(F.size(full(r)) >= n, ends(full(r))), F.lit(False))
+    stock = F.exists(headers, lambda h: F.upper(h).rlike("BAL|CLOSING")) & ~F.upper(F.element_at(headers, -1)).contains("VAL")
+    short = (F.size(headers) > 0) & stock & F.exists(F.slice(rows, 1, first), lambda r: least(r, 8))
+    width = F.size(headers) + 1
+
+    def fixed(r):
+        f = full(r)
+        at = F.array_position(F.transform(f, lambda c: c.rlike(amount)), True) - 1
+        wants = least(r, 12) & (at >= 8) & (F.size(f) < width)
+        own = F.concat(F.slice(f, F.lit(1), at.cast("int")), F.array_repeat(F.lit("0"), width - F.size(f)), F.slice(f, (at + 1).cast("int"), F.size(f)))
+        return F.when(wants, own).otherwise(r)
+
+    with_value = F.struct(F.concat(headers, F.array(F.lit("Bal.Val"))).alias("headers"), F.transform(rows, fixed).alias("rows"))
+    return F.when(short, with_value).otherwise(F.struct(headers.alias("headers"), rows.alias("rows")))
+
+
+def without_empty_tail(headers: Column, rows: Column) -> Column:
+    """A struct (headers, rows) without the last columns that hold nothing in any row; a table without rows stays."""
+    filled = F.transform(F.sequence(F.lit(1), F.greatest(F.size(headers), F.lit(1))), lambda k: F.when(F.exists(rows, lambda r: ~F.coalesce(F.trim(F.get(r, k - 1)), F.lit("")).isin("", "-", "--", "None", "null")), k))
+    width = F.when(F.size(rows) == 0, F.size(headers)).otherwise(F.coalesce(F.array_max(filled), F.lit(0)))
+    return F.struct(F.slice(headers, F.lit(1), width).alias("headers"), F.transform(rows, lambda r: F.slice(r, F.lit(1), width)).alias("rows"))
+
+
+def without_batch_sections(lines: Column) -> Column:
+    """Lines of markdown without sections under a heading on batches: all up to the next heading or table."""
+    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept"))
+
+    def step(have, line):
+        t = F.trim(line)
+        heading = t.rlike("(?i)^#{1,4}\\s*batch")
+        skip = heading | (have["skip"] & ~t.rlike(r"^[#|]"))
+        return F.struct(skip.alias("skip"), F.when(skip, have["kept"]).otherwise(F.concat(have["kept"], F.array(line))).alias("kept"))
+
+    return F.aggregate(lines, start, step, lambda a: a["kept"])

@@ -46,6 +46,32 @@ def spaced_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col("key").alias(key), "pos", "cells")
 
 
+# Words of a billing table's header; how the lines under it start.
+BILLED, UNDER = r"Sales|InQty|Total|Cl\.Value", r"^(Opening Value|Total Value|\*\*|---|###)"
+
+
+def billing_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, table_idx, row_idx, cells) of space-aligned billing tables, for texts without a pipe table.
+
+    A table starts at a line with Product and a word of its header, and ends before a blank line or one that
+    starts like the sums under it. Cells are parted by two spaces or tabs; a header of fewer than four or a
+    row of fewer than three by single ones. A header alone is no table.
+    """
+    rows = _lines(docs, key, text)
+    by = Window.partitionBy("key").orderBy("pos")
+    piped = F.max(F.col("line").rlike(r"^\|.*\|$").cast("int")).over(Window.partitionBy("key")) == 1
+    rows = rows.withColumns({"_piped": piped, "_head": F.col("line").contains("Product") & F.col("line").rlike(BILLED), "_stop": (F.col("line") == "") | F.col("line").rlike(UNDER)}).where(~F.col("_piped"))
+    stretch = F.sum(F.col("_stop").cast("int")).over(by)
+    rows = rows.withColumn("_stretch", stretch).where(~F.col("_stop"))
+    own = Window.partitionBy("key", "_stretch").orderBy("pos")
+    rows = rows.withColumn("_in", F.max(F.col("_head").cast("int")).over(own)).where("_in = 1").withColumn("r", F.row_number().over(own) - 1)
+    wide = F.split("line", r"\s{2,}|\t")
+    cells = F.when(F.size(wide) >= F.when(F.col("r") == 0, 4).otherwise(3), wide).otherwise(F.split("line", r"\s+"))
+    rows = rows.withColumns({"cells": cells, "_n": F.count("*").over(Window.partitionBy("key", "_stretch"))}).where("_n > 1")
+    at = F.dense_rank().over(Window.partitionBy("key").orderBy("_stretch")) - 1
+    return rows.select(F.col("key").alias(key), at.cast("int").alias("table_idx"), F.col("r").cast("int").alias("row_idx"), "cells")
+
+
 _CELL = re.compile(r"<t[dh]\b[^>]*>(.*?)(?=<t[dh]\b|</t[dhr]|<tr\b|</table|$)", re.S | re.I)
 
 
@@ -83,7 +109,7 @@ def html_tables_as_markdown(html: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def recovered_json(answer: pd.Series) -> pd.Series:
-    """The JSON object in a model's answer: as it is, without a fence, from the first brace to the last, or with its ends closed; else {"raw_response": text}."""
+    """The JSON object in a model's answer: as it is, without a fence, from the first brace to the last, with its ends closed, or up to its last whole object; else {"raw_response": text}."""
 
     def one(text: str | None) -> str | None:
         if text is None:
@@ -106,7 +132,9 @@ def recovered_json(answer: pd.Series) -> pd.Series:
                 elif not quoted and c in "}]" and stack:
                     stack.pop()
             ends = "".join(reversed(stack))
+            last = tail[: tail.rfind("}") + 1]
             tries += [tail + '"' * quoted + ends, re.sub(r",?\s*(\"[^\"]*\"?\s*:?\s*)?$", "", tail) + ends]
+            tries += [last + "]" * (last.count("[") - last.count("]")) + "}" * (last.count("{") - last.count("}"))]
         for t in tries:
             try:
                 found = json.loads(t)

@@ -49,7 +49,6 @@ QUERIES = {
     "token_split": _split,
     "path_resolve": lambda s, d: read(s, d, "events").select("event_id", D.resolved(F.concat(F.lit('{"a":{"b":['), F.coalesce("props", F.lit("null")), F.lit("]}}")), "a.b[0].k").alias("k")),
     "date_validate": lambda s, d: read(s, d, "orders").select("o_orderkey", D.valid_date(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd-MMM-yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).otherwise(F.col("o_orderpriority"))).alias("ok")),
-    "header_metadata": lambda s, d: read(s, d, "supplier").select("s_suppkey", D.header_metadata(F.concat(F.lit("Report\n"), F.col("s_name"), F.lit(" Pharma Ltd\n01-06-2024 to 30-06-2024\n| x |"))).alias("m")).select("s_suppkey", "m.company", "m.period"),
     "export_json": lambda s, d: ledger(s, d).select("id", D.json_export(F.col("original_filename"), F.col("document_type"), F.col("project_name"), F.struct(F.col("id").alias("n")), F.lit("m")).alias("json"), D.export_name(F.col("original_filename")).alias("name")),
     "export_text": lambda s, d: ledger(s, d).select("id", D.text_export(F.col("original_filename"), F.col("document_type"), F.struct(F.col("id").alias("n")), F.lit("body")).alias("text")),
 }
@@ -66,7 +65,6 @@ SQL = {
       UNION ALL SELECT p_partkey, 1, '10', round(100.0 / (n + 3) * (n + 1), 3)::DOUBLE, 100.0::DOUBLE FROM p WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 0, p_name, 0.0::DOUBLE, 100.0::DOUBLE FROM p WHERE p_partkey % 2 = 1""",
     "path_resolve": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
     "date_validate": "SELECT o_orderkey, o_orderkey % 3 <> 2 AS ok FROM orders",
-    "header_metadata": "SELECT s_suppkey, s_name || ' Pharma Ltd' AS company, '01-06-2024 to 30-06-2024' AS period FROM supplier",
     "export_json": f"""WITH {LEDGER_SQL} SELECT id, '{{"filename":"' || original_filename || '","document_type":"' || document_type || '","project_name":' || coalesce('"' || project_name || '"', 'null') || ',"structured_data":{{"n":' || id || '}},"markdown":"m"}}' AS json, split_part(original_filename, '.', 1) || '_ocr.json' AS name FROM ledger""",
     "export_text": f"""WITH {LEDGER_SQL} SELECT id, '{_RULE}' || chr(10) || 'Document: ' || original_filename || chr(10) || 'Type: ' || document_type || chr(10) || '{_RULE}' || chr(10) || '{{"n":' || id || '}}' || chr(10) || chr(10) || 'body' AS text FROM ledger""",
 }

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliant.functions import cells as C
+from foliant.operators import decisions as D
+from foliant.operators import sanitise as S
+from foliant.operators import tables as T
 from foliant.operators.assembly import assembled, table_grid
 from foliant.operators.columns import column_model
 from foliant.operators.layout import lined
@@ -76,12 +80,102 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(repr(v) if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in rows)
 
 
+#: Texts, tables and descriptions by the supplier's number, # or @ in them, and what comes of each.
+HEADS = [
+    ("# SHREE AGENCIES@\nSTOCK STATEMENT\nGandhi Road@\nFrom 01/05 To 29/05\n| a | b |\n| 1 | 2 |", ("SHREE AGENCIES@", "Gandhi Road@", "From 01/05 To 29/05")),
+    ("Report\nNOVA TRADERS@\n| HETERO GENX@ X | | |\n|---|---|---|\nFor the month", ("NOVA TRADERS@", "HETERO GENX@ X", "For the month")),
+    ("ab\n| Total 5 | |", (None, None, None)),
+]
+BILLS = [
+    ("Product Name  InQty  Sales  Cl.Value\nA@  1  2  3.00\nB@  4 5\nOpening Value 9\nC  1  2  3", ["0:0:Product Name|InQty|Sales|Cl.Value", "0:1:A@|1|2|3.00", "0:2:B@|4|5"]),
+    ("Product Total\nX@ 1\n\nProduct Sales\n---\nnone", ["0:0:Product|Total", "0:1:X@|1"]),
+    ("| Product | Total |\nProduct Total\nA 1", []),
+]
+NOTED = [
+    (["Sl", "Item", "Qty"], [["1", "PAR# TAB", "5"], ["", "Batch No: X12345", "Quantity: 3"], ["2", "GEL#", "batch number quantity: 7"], ["3", "OIL#", "Expiry within six month"]], "1,PAR# TAB,5;2,GEL#,7;3,OIL#,0", "Batch No: X12345|Quantity: 3|batch number quantity: 7|Expiry within six month"),
+    (["Item", "Qty"], [["LONG#", "1"], ["LONG# again", "Exp date 10/26"], ["NEXT#", "Mfg date month"]], "LONG#,1;NEXT#,0", "LONG# again|Exp date 10/26|Mfg date month"),
+]
+VALUED = [
+    (["a", "b", "c", "d", "e", "f", "g", "h", "i", "j", "k", "l", "m", "Bal. Qty"], [["1", "2", "3", "4", "5", "6", "7", "8", "9", "10", "11", "", "#", "4819.80"], ["x"]], "Bal.Val", "1,2,3,4,5,6,7,8,9,10,11,#,0,0,4819.80;x"),
+    (["Item", "Closing Value"], [["1", "2", "3", "4", "5", "6", "7", "#", "9.00"]], "Closing Value", "1,2,3,4,5,6,7,#,9.00"),
+]
+DESCRIBED = [("TOFUSTAB", "TOFUS TAB"), ("O.058CREAM", "0.05% CREAM"), ("MINOSTRONG-FSOLUTION", "MINOSTRONG-F SOLUTION"), ("BORITSB65", "BORIT SB 65"), ("PARA500mg", "PARA 500mg"), ("108 GEL", "10% GEL")]
+FILLS = [[("DRUG X#", "1", "", "2"), ("DRUG X# S-Total", "", "5", ""), ("ALONE#", "", "", "1")], [("DRUG Y#", "1", "2", ""), ("S-Total", "", "", "9"), ("Z#", "1", "1", "1"), ("OTHER S-Total", "", "", "")]]
+FILLED = [[("DRUG X#", "1", "5", "2", "subtotal"), ("DRUG X# S-Total", "1", "5", "2", "product"), ("ALONE#", "", "", "1", None)], [("DRUG Y#", "1", "2", "9", "subtotal"), ("S-Total", "1", "2", "9", "product"), ("Z#", "1", "1", "1", None), ("OTHER S-Total", "", "", "", None)]]
+
+
+def _suppliers(s, d, n, values):
+    """(t, v): each supplier's number and the value of its remainder, with the number for every #."""
+    sup = read(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("t"))
+    return sup.select("t", F.get(F.array(*values), (F.col("t") % n).cast("int")).alias("v"))
+
+
+def _numbered(c):
+    return F.replace(c, F.lit("#"), F.col("t").cast("string"))
+
+
+def _texts(s, d, texts):
+    return _suppliers(s, d, len(texts), [F.lit(t) for t in texts]).select("t", F.replace("v", F.lit("@"), F.col("t").cast("string")).alias("v"))
+
+
+def _named_tables(s, d, tables):
+    value = lambda h, rows: F.struct(F.array(*(F.lit(x) for x in h)).alias("h"), F.array(*(F.array(*(F.lit(x) for x in r)) for r in rows)).alias("r"))
+    t = _suppliers(s, d, len(tables), [value(h, rows) for h, rows, *_ in tables])
+    return t.select("t", F.col("v.h").alias("h"), F.transform("v.r", lambda r: F.transform(r, _numbered)).alias("r"))
+
+
+def _joined(rows):
+    return F.array_join(F.transform(rows, lambda r: F.array_join(r, ",")), ";")
+
+
+def _sublines(s, d):
+    return _named_tables(s, d, NOTED).select("t", S.without_sublines(F.col("h"), F.col("r")).alias("x")).select("t", _joined(F.col("x.rows")).alias("rows"), F.array_join("x.notes", "|").alias("notes"))
+
+
+def _valued(s, d):
+    return _named_tables(s, d, VALUED).select("t", S.value_recovered(F.col("h"), F.col("r")).alias("x")).select("t", F.element_at("x.headers", -1).alias("last"), _joined(F.col("x.rows")).alias("rows"))
+
+
+def _filled(s, d):
+    row = lambda k, r: F.struct(F.lit(k).alias("n"), *(F.lit(v).alias(c) for c, v in zip(("label", "a", "b", "c"), r, strict=True)))
+    rows = _suppliers(s, d, 2, [F.array(*(row(k, r) for k, r in enumerate(rows))) for rows in FILLS]).select("t", F.explode("v").alias("v")).select("t", "v.n", _numbered(F.col("v.label")).alias("label"), "v.a", "v.b", "v.c")
+    return D.subtotals_filled(rows, "t", "n", ["a", "b", "c"])
+
+
 QUERIES = {
     "column_model": lambda s, d: column_model(lined(_page_tokens(s, d))).select("doc_id", "col_idx", "name", F.round("left", 3).alias("left"), F.round("right", 3).alias("right"), "uncertain"),
     "table_grid": lambda s, d: table_grid(_page_tokens(s, d)).select("doc_id", "row_idx", "row_type", F.array_join("cells", "|").alias("cells"), "uncertain"),
+    "header_metadata": lambda s, d: _texts(s, d, [t for t, _ in HEADS]).select("t", D.header_metadata(F.col("v")).alias("m")).select("t", "m.*"),
+    "billing_tables": lambda s, d: T.billing_rows(_texts(s, d, [t for t, _ in BILLS]), "t", "v").select("t", "table_idx", "row_idx", F.array_join("cells", "|").alias("cells")),
+    "batch_sublines": _sublines,
+    "value_column": _valued,
+    "empty_tail": lambda s, d: _named_tables(s, d, [(["a", "b", "c"], [["#", "", "-"], ["1", "None", ""]]), (["a", "b"], [["", "#"]])]).select("t", S.without_empty_tail(F.col("h"), F.col("r")).alias("x")).select("t", F.array_join("x.headers", ",").alias("headers"), _joined(F.col("x.rows")).alias("rows")),
+    "batch_sections": lambda s, d: _texts(s, d, ["a@\n### Batch notes\n- x\nword\n\n| t |\n## batch\n* y\n# End"]).select("t", F.array_join(S.without_batch_sections(F.split("v", "\n")), "/").alias("text")),
+    "name_confusions": lambda s, d: _suppliers(s, d, len(DESCRIBED), [F.lit(a) for a, _ in DESCRIBED]).select("t", C.description_confusions(F.col("v")).alias("name"), C.serial_confusions(F.get(F.array(F.lit("O"), F.lit("l"), F.lit("12")), (F.col("t") % 3).cast("int"))).alias("serial")),
+    "subtotal_fills": _filled,
     "logical_rows": lambda s, d: assembled(_table_lines(s, d), ["t"]).select("t", "row_idx", "row_type", F.array_join("cells", "|").alias("cells")),
 }
+_T = "CAST(s_suppkey AS BIGINT) AS t"
+_N = "replace(replace({c}, '#', CAST(s_suppkey AS VARCHAR)), '@', CAST(s_suppkey AS VARCHAR))"
+
+
+def _golden(n: int, names: list[str], rows: list[tuple], whole: tuple[str, ...] = ()) -> str:
+    """Rows (remainder, values) of golden answers, for every supplier."""
+    null = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    table = "VALUES " + ", ".join("(" + ", ".join(null(v) for v in r) + ")" for r in rows)
+    own = ", ".join((f"{c}::INT" if c in whole else _N.format(c=c)) + f" AS {c}" for c in names)
+    return f"SELECT {_T}, {own} FROM supplier JOIN ({table}) AS g(k, {', '.join(names)}) ON s_suppkey % {n} = k"
+
+
 SQL = {
+    "header_metadata": _golden(3, ["distributor", "company", "period"], [(k, *m) for k, (_, m) in enumerate(HEADS)]),
+    "billing_tables": _golden(3, ["table_idx", "row_idx", "cells"], [(k, *r.split(":", 2)) for k, (_, rows) in enumerate(BILLS) for r in rows], ("table_idx", "row_idx")),
+    "batch_sublines": _golden(2, ["rows", "notes"], [(k, r, n) for k, (_, _, r, n) in enumerate(NOTED)]),
+    "value_column": _golden(2, ["last", "rows"], [(k, h, r) for k, (_, _, h, r) in enumerate(VALUED)]),
+    "empty_tail": _golden(2, ["headers", "rows"], [(0, "a", "#;1"), (1, "a,b", ",#")]),
+    "batch_sections": f"SELECT {_T}, 'a' || s_suppkey || '/| t |/# End' AS text FROM supplier",
+    "name_confusions": f"SELECT {_T}, name, ['0', '1', '12'][s_suppkey % 3 + 1] AS serial FROM supplier JOIN ({_values([(k, b) for k, (_, b) in enumerate(DESCRIBED)])}) AS g(k, name) ON s_suppkey % {len(DESCRIBED)} = k",
+    "subtotal_fills": _golden(2, ["n", "label", "a", "b", "c", "filled_from"], [(k, n, *r) for k, rows in enumerate(FILLED) for n, r in enumerate(rows)], ("n",)),
     "column_model": f'SELECT CAST(s_suppkey AS BIGINT) AS doc_id, col_idx::INT AS col_idx, name, l::DOUBLE AS "left", r::DOUBLE AS "right", uncertain FROM supplier JOIN ({_values(MODELS)}) AS g(layout, col_idx, name, l, r, uncertain) ON s_suppkey % 3 = layout',
     "table_grid": f"SELECT CAST(s_suppkey AS BIGINT) AS doc_id, row_idx::INT AS row_idx, row_type, cells, s_suppkey % 3 = 0 AS uncertain FROM supplier JOIN ({_values(GRIDS)}) AS g(layout, row_idx, row_type, cells) ON s_suppkey % 3 = layout",
     "logical_rows": f"SELECT CAST(s_suppkey AS BIGINT) AS t, row_idx::INT AS row_idx, row_type, replace(cells, '#', CAST(s_suppkey AS VARCHAR)) AS cells FROM supplier JOIN ({_values(ROWS)}) AS g(layout, row_idx, row_type, cells) ON s_suppkey % 2 = layout",
