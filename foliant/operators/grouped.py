@@ -12,20 +12,32 @@ Columns = dict[str, np.ndarray]
 
 
 def _chunks(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Whole groups of sorted frames, and where each starts, with the end."""
-    held: pd.DataFrame | None = None
+    """Whole groups of sorted frames, and where each starts, with the end. A group over many frames is put together once."""
+    held: list[pd.DataFrame] = []
     for frame in frames:
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
         if frame.empty:
             continue
         own = frame[keys]
-        starts = np.flatnonzero((own != own.shift()).any(axis=1).to_numpy())
-        last = starts[-1]
-        if last:
-            yield frame.iloc[:last], starts
-        held = frame.iloc[last:].reset_index(drop=True)
-    if held is not None and len(held):
-        yield held, np.array([0, len(held)])
+        before = own.shift()
+        if held:
+            before.iloc[0] = held[-1][keys].iloc[-1]
+        same = (own == before) | (own.isna() & before.isna())
+        if not held:
+            same.iloc[0] = False
+        starts = np.flatnonzero(~same.all(axis=1).to_numpy())
+        if not len(starts):
+            held.append(frame)
+            continue
+        last = int(starts[-1])
+        if held or last:
+            head = [*held, frame.iloc[:last]] if last else held
+            size = sum(len(f) for f in held)
+            inner = [int(s) + size for s in starts[:-1]] if last else []
+            yield pd.concat(head, ignore_index=True), np.array(sorted({0, *inner, sum(len(f) for f in head)}))
+        held = [frame.iloc[last:]]
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole, np.array([0, len(whole)])
 
 
 def fold_rows(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[Columns, int, int], list[tuple]], schema: str) -> DataFrame:
