@@ -29,10 +29,18 @@ def page_slope(tokens: DataFrame) -> DataFrame:
     return m.select(*PAGE, F.when((F.col("n") >= 5) & (F.abs("m") <= 0.15), F.col("m")).otherwise(0.0).alias("slope"))
 
 
+def _slope(slopes: np.ndarray) -> float:
+    """What page_slope() says of a page's tokens."""
+    known = slopes[~np.isnan(slopes)]
+    middle = float(np.median(known)) if len(known) >= 5 else 0.0
+    return middle if np.isfinite(middle) and abs(middle) <= 0.15 else 0.0
+
+
 def lined(tokens: DataFrame, policy: str = "image", tolerance: float | None = None) -> DataFrame:
     """tokens with line_idx, from 0 down the page.
 
-    image: the nearest line within max(7, 0.55 median height) of its mean that the token doesn't overlap;
+    image: the nearest line within max(7, 0.55 median height) of its mean that the token doesn't overlap, on
+    a page put upright where its slope (quad_slope) moves a line's end by more than 1.5 times that;
     first: the first line within the tolerance of its first token (3.5 for words of a digital page);
     light: the first line within 14 of its mean.
     """
@@ -41,6 +49,10 @@ def lined(tokens: DataFrame, policy: str = "image", tolerance: float | None = No
         x0, x1, y0, y1 = (c[k][low:high].astype(float) for k in ("x0", "x1", "y0", "y1"))
         y = (y0 + y1) / 2
         reach = tolerance if tolerance is not None else max(7.0, 0.55 * float(np.median(y1 - y0))) if policy == "image" else 14.0 if policy == "light" else 3.5
+        if policy == "image" and "quad_slope" in c:
+            slope = _slope(c["quad_slope"][low:high].astype(float))
+            if abs(slope) * (x1.max() - x0.min()) > 1.5 * reach:
+                y = y - slope * (x0 + x1) / 2
         mark: list[float] = []
         own: list[list[int]] = []
         line = np.zeros(len(y), dtype=np.int32)

@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from foliant.functions.text import lines
+from foliant.operators.sanitise import without_empty_tail
 
 RULE = r"^\|[\s\-:|]+\|$"
 
@@ -196,6 +197,28 @@ def sheet(cells: Column) -> Column:
     return F.transform(rows, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), used)), F.lit(1), used))
 
 
+def sheet_tables(tables: DataFrame, key: str) -> DataFrame:
+    """(key, table_index, columns, rows, dominant) of pipe tables (key, table_idx, row_idx, cells), row 0 the header.
+
+    A first row that only titles the next one goes: nothing beside its first cell, or the same as in the
+    next. Blank names are Column i. Rows without text go, others are fitted to the header; columns at the end
+    that are empty in all rows go. dominant is the table of the most cells, the first of equals.
+    """
+    t = tables.groupBy(key, "table_idx").agg(F.transform(F.sort_array(F.collect_list(F.struct("row_idx", "cells"))), lambda r: r["cells"]).alias("all"))
+    tail = lambda r: F.slice(r, 2, F.greatest(F.size(r), F.lit(1)))
+    body = tail(F.col("all"))
+    a, b = F.get(body, F.lit(0)), F.get(body, F.lit(1))
+    title = F.coalesce((F.size(body) >= 2) & (F.size(a) > 1) & (F.size(b) > 1) & (F.forall(tail(a), lambda c: F.trim(c).isin("", "-")) | (tail(a) == tail(b))), F.lit(False))
+    head = F.get("all", F.lit(0))
+    t = t.withColumns({"columns": F.transform(head, lambda h, i: F.when(h == "", F.concat(F.lit("Column "), (i + 1).cast("string"))).otherwise(h)), "body": F.when(title, tail(body)).otherwise(body)})
+    rows = F.transform(F.filter("body", lambda r: F.exists(r, lambda c: F.trim(c) != "")), lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.size("columns"))), F.lit(1), F.size("columns")))
+    t = t.where(F.size("columns") > 0).withColumn("x", without_empty_tail(F.col("columns"), rows))
+    t = t.select(key, (F.col("table_idx") + 1).alias("table_index"), F.col("x.headers").alias("columns"), F.col("x.rows").alias("rows"))
+    size = F.struct((F.size("columns") * F.size("rows")).alias("n"), (-F.col("table_index")).alias("i"))
+    best = t.groupBy(F.col(key).alias("_key")).agg((-F.max(size)["i"]).alias("_best"))
+    return t.join(best, F.col(key) == F.col("_key")).select(key, "table_index", "columns", "rows", (F.col("table_index") == F.col("_best")).alias("dominant"))
+
+
 def tables_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For mapInPandas over (key, html): (key, table_idx, row_idx, cells)."""
     for frame in batches:

@@ -158,6 +158,7 @@ QUERIES = {
     "active_keys": lambda s, d: S.active(read(s, d, "customer").withColumn("revoked_at", F.when(F.col("c_custkey") % 3 == 0, F.lit("2024-01-01")))).select("c_custkey"),
     "key_projection": lambda s, d: read(s, d, "customer").select("c_custkey", F.map_keys(S.without_keys(F.create_map(F.lit("tables"), F.col("c_name"), F.lit("text"), F.col("c_mktsegment")), ["tables", "cells_metadata"])).alias("k")).select("c_custkey", F.array_join("k", ",").alias("keys")),
     "upload_dropped": lambda s, d: S.dropped_uploads(ledger(s, d), "original_filename", "id"),
+    "export_pretty": lambda s, d: read(s, d, "nation").select("n_nationkey", P.pretty_text(F.concat(F.lit('{"name":"'), F.col("n_name"), F.lit('","list":[1,2]}')), F.lit("body"), F.col("n_name")).alias("text")),
     "history_all": lambda s, d: read(s, d, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")),
 }
 _HMAC = hashlib.sha256(bytes(b ^ 0x5C for b in SECRET.ljust(64, b"\0")) + hashlib.sha256(bytes(b ^ 0x36 for b in SECRET.ljust(64, b"\0")) + b"fixed message").digest()).hexdigest()
@@ -185,5 +186,6 @@ SQL = {
     "active_keys": "SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0",
     "key_projection": "SELECT c_custkey, 'text' AS keys FROM customer",
     "upload_dropped": f"WITH {LEDGER_SQL} SELECT original_filename, count(DISTINCT id) - 1 AS copies FROM ledger GROUP BY 1 HAVING count(DISTINCT id) > 1",
+    "export_pretty": """SELECT n_nationkey, '=== ' || n_name || ' ===' || chr(10) || chr(10) || '{' || chr(10) || '  "name": "' || n_name || '",' || chr(10) || '  "list": [' || chr(10) || '    1,' || chr(10) || '    2' || chr(10) || '  ]' || chr(10) || '}' || chr(10) || chr(10) || 'body' AS text FROM nation""",
     "history_all": "SELECT event_id, ts FROM events",
 }

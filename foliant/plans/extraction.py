@@ -117,7 +117,7 @@ _ITEMS_SQL = f"""WITH {BASE_SQL} SELECT table_id, CAST(row_index - 1 AS INT) AS
 
 QUERIES = {
     "page_slope": lambda s, d: L.page_slope(_tokens(s, d)).select("doc_id", F.round("slope", 6).alias("slope")),
-    "y_cluster": lambda s, d: L.lined(_tokens(s, d)).select("doc_id", "seq", "line_idx"),
+    "y_cluster": lambda s, d: L.lined(_tokens(s, d).drop("quad_slope")).select("doc_id", "seq", "line_idx"),
     "y_cluster_first": lambda s, d: L.lined(_tokens(s, d), policy="first").select("doc_id", "seq", "line_idx"),
     "line_rows": lambda s, d: L.line_rows(_tokens(s, d).withColumn("line_idx", F.floor(F.col("seq") / 4).cast("int"))).select("doc_id", "line_idx", "text", "tokens", "figures", "data_like"),
     "body_start": lambda s, d: L.body_start(L.line_rows(_tokens(s, d).withColumn("line_idx", F.floor(F.col("seq") / 4).cast("int")))).select("doc_id", "body_start"),

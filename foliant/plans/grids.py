@@ -128,6 +128,30 @@ def _joined(rows):
     return F.array_join(F.transform(rows, lambda r: F.array_join(r, ",")), ";")
 
 
+#: Texts of tables and the sheets they make: a title row, a blank name, short and long rows, empty ends, two tables.
+SHEETS = [
+    ("| Item | | Qty | x |\n|---|---|---|---|\n| DERMA | - | | |\n| A@ | b | 1 |\n| | | | |\n| B | c | 2 | | 9 |\n\n| K | V |\n|---|---|\n| a | 1 |", [(1, "Item,Column 2,Qty", "A@,b,1;B,c,2", True), (2, "K,V", "a,1", False)]),
+    ("| K | V |\n|---|---|\n| a@ | 1 |\n| b | 1 |\ntext\n| K | V |\n|---|---|\n| c | - |\n| d | |", [(1, "K,V", "b,1", True), (2, "K", "d", False)]),
+]
+
+
+def _sheets(s, d):
+    t = T.sheet_tables(T.pipe_tables(_texts(s, d, [t for t, _ in SHEETS]), "t", "v"), "t")
+    return t.select("t", "table_index", F.array_join("columns", ",").alias("columns"), _joined(F.col("rows")).alias("rows"), "dominant")
+
+
+#: A tilted page: two lines whose ends drop by 0.1 a pixel, and where its words belong.
+TILTED = [(k, x, y + 0.1 * (x + 15), line) for k, (x, y, line) in enumerate([(0, 0, 0), (150, 0, 0), (300, 0, 0), (0, 25, 1), (150, 25, 1), (300, 25, 1)])]
+
+
+def _tilted(s, d):
+    w = F.explode(F.array(*(F.struct(F.lit(k).alias("seq"), F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0")) for k, x, y, _ in TILTED))).alias("w")
+    t = read(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("doc_id"), F.lit(1).alias("page"), w).select("doc_id", "page", "w.*")
+    t = t.withColumns({"x1": F.col("x0") + 30, "y1": F.col("y0") + 12, "quad_slope": F.lit(0.1), "text": F.lit("w")})
+    flat = lined(t.withColumn("quad_slope", F.lit(0.0))).groupBy("doc_id").agg((F.max("line_idx") + 1).alias("untilted"))
+    return lined(t).select("doc_id", "seq", "line_idx").join(flat, "doc_id")
+
+
 def _sublines(s, d):
     return _named_tables(s, d, NOTED).select("t", S.without_sublines(F.col("h"), F.col("r")).alias("x")).select("t", _joined(F.col("x.rows")).alias("rows"), F.array_join("x.notes", "|").alias("notes"))
 
@@ -148,6 +172,8 @@ QUERIES = {
     "header_metadata": lambda s, d: _texts(s, d, [t for t, _ in HEADS]).select("t", D.header_metadata(F.col("v")).alias("m")).select("t", "m.*"),
     "billing_tables": lambda s, d: T.billing_rows(_texts(s, d, [t for t, _ in BILLS]), "t", "v").select("t", "table_idx", "row_idx", F.array_join("cells", "|").alias("cells")),
     "batch_sublines": _sublines,
+    "sheet_tables": _sheets,
+    "y_cluster_tilt": _tilted,
     "value_column": _valued,
     "empty_tail": lambda s, d: _named_tables(s, d, [(["a", "b", "c"], [["#", "", "-"], ["1", "None", ""]]), (["a", "b"], [["", "#"]])]).select("t", S.without_empty_tail(F.col("h"), F.col("r")).alias("x")).select("t", F.array_join("x.headers", ",").alias("headers"), _joined(F.col("x.rows")).alias("rows")),
     "batch_sections": lambda s, d: _texts(s, d, ["a@\n### Batch notes\n- x\nword\n\n| t |\n## batch\n* y\n# End"]).select("t", F.array_join(S.without_batch_sections(F.split("v", "\n")), "/").alias("text")),
@@ -171,6 +197,8 @@ SQL = {
     "header_metadata": _golden(3, ["distributor", "company", "period"], [(k, *m) for k, (_, m) in enumerate(HEADS)]),
     "billing_tables": _golden(3, ["table_idx", "row_idx", "cells"], [(k, *r.split(":", 2)) for k, (_, rows) in enumerate(BILLS) for r in rows], ("table_idx", "row_idx")),
     "batch_sublines": _golden(2, ["rows", "notes"], [(k, r, n) for k, (_, _, r, n) in enumerate(NOTED)]),
+    "sheet_tables": f"SELECT {_T}, table_index::INT AS table_index, columns, {_N.format(c='rows')} AS rows, dominant FROM supplier JOIN ({_values([(k, *r) for k, (_, rows) in enumerate(SHEETS) for r in rows])}) AS g(k, table_index, columns, rows, dominant) ON s_suppkey % 2 = k",
+    "y_cluster_tilt": f"SELECT CAST(s_suppkey AS BIGINT) AS doc_id, k::INT AS seq, line::INT AS line_idx, 5 AS untilted FROM supplier, ({_values([(k, line) for k, _, _, line in TILTED])}) AS g(k, line)",
     "value_column": _golden(2, ["last", "rows"], [(k, h, r) for k, (_, _, h, r) in enumerate(VALUED)]),
     "empty_tail": _golden(2, ["headers", "rows"], [(0, "a", "#;1"), (1, "a,b", ",#")]),
     "batch_sections": f"SELECT {_T}, 'a' || s_suppkey || '/| t |/# End' AS text FROM supplier",
