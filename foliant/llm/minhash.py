@@ -252,13 +252,19 @@ def _tiled(members: DataFrame, key: str, size: int) -> DataFrame:
     return rows.withColumns({"x": F.least("_t", "_o"), "y": F.greatest("_t", "_o"), "side": (F.col("_t") < F.col("_o")).cast("int")}).drop("_tiles", "_t", "_o")
 
 
+def _small(table: DataFrame, most: int = 200_000) -> DataFrame:
+    """A table of a row a bundle, written, and broadcast if it has few rows: a bundle with many members is then not dealt to one task. Beyond that adaptive execution splits its join."""
+    table = cut(table, narrow=True)
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def _against_others(bundle: DataFrame) -> DataFrame:
     """Members of bundles (bundle, id, label, n) dealt to tiles: members outside the largest class of their bundle (side 0) against all members (side 1)."""
     sizes = bundle.groupBy("bundle", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     parts = lambda c, s: F.greatest(F.lit(1), F.ceil(c / F.lit(BUNDLE)), F.ceil(s / F.lit(BUNDLE_SHINGLES))).cast("int")
     whole = sizes.groupBy("bundle").agg(F.max_by(F.struct("label", "c", "s"), F.struct("c", "label")).alias("most"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     whole = whole.select("bundle", F.col("most.label").alias("large"), parts(F.col("c") - F.col("most.c"), F.col("s") - F.col("most.s")).alias("px"), parts(F.col("c"), F.col("s")).alias("py"))
-    rows = bundle.join(whole, "bundle").withColumns({"ix": F.pmod(F.xxhash64("id"), F.col("px")).cast("int"), "iy": F.pmod(F.xxhash64("id", F.lit(1)), F.col("py")).cast("int")})
+    rows = bundle.join(_small(whole), "bundle").withColumns({"ix": F.pmod(F.xxhash64("id"), F.col("px")).cast("int"), "iy": F.pmod(F.xxhash64("id", F.lit(1)), F.col("py")).cast("int")})
     other = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     small = rows.where("label <> large").select("bundle", "id", "label", F.col("ix").alias("x"), other("py").alias("y"), F.lit(0).alias("side"))
     return small.unionAll(rows.select("bundle", "id", "label", other("px").alias("x"), F.col("iy").alias("y"), F.lit(1).alias("side")))
@@ -314,7 +320,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
             break
         if k < PEELS:
             chosen = bundle.groupBy("bundle").agg(F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(k))).alias("lead"))
-            some = bundle.join(chosen, "bundle").where("label <> lead.label").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
+            some = bundle.join(_small(chosen), "bundle").where("label <> lead.label").select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
             found = classes(confirmed(cut(some, narrow=True)))
         else:
             full = maybe_in(ids, "id", bundle.select("id"))
@@ -326,7 +332,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if k < PEELS:
             bundle = bundle.join(merged.select(F.col("id").alias("start"), "component"), "start", "left").select("bundle", "id", "n", "start", F.coalesce("component", "start").alias("label"))
             open_ = bundle.groupBy("bundle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bundle")
-            bundle = cut(bundle.join(open_, "bundle", "left_semi"), narrow=True)
+            bundle = cut(bundle.join(_small(open_), "bundle", "left_semi"), narrow=True)
     merged = spark.createDataFrame([], "class long, whole long") if between is None else merged.select(F.col("id").alias("class"), F.col("component").alias("whole"))
     out = sk.select("id", "n").join(label, "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     out = out.join(merged, "class", "left").withColumn("component", F.coalesce("whole", "class"))
