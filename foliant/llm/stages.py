@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import language
@@ -17,32 +17,44 @@ from foliant.llm.sharding import assign_shards
 REPETITION, BLOCK_TOKENS, SHARD_BYTES = 1.25, 20_000, 1 << 20
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone; rows without an id stay. gone is broadcast up to a million ids."""
-    gone = cut(gone.where("doc_id is not null").distinct())
+def _packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs as one column, so that no name can clash, beside further ones."""
+    return docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("doc"), *more)
+
+
+def _row() -> Column:
+    """64 bits of a row's id and text: rows that share an id, or have none, are judged one by one."""
+    return F.xxhash64(F.col("doc_id").cast("string"), F.col("text"))
+
+
+def _without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in gone (key). gone is broadcast up to a million keys."""
+    gone = cut(gone.distinct())
     few = gone.count() <= 1_000_000
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    return _packed(docs, key.alias("key")).join(F.broadcast(gone) if few else gone, "key", "left_anti").select("doc.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose language can't be told: no letters, or no language with half the posterior, where none of them is a hypothesis. lang stays as declared."""
-    rows = docs.select(*language.evidence(F.col("doc_id").cast("long"), F.col("text"), F.col("lang"), F.col("source")))
-    return _without(docs, language.identify(rows, language.fit(rows)).where("not accepted").select(F.col("key").alias("doc_id")))
+    """Documents go whose language can't be told: no letters (so null and blank texts), or no language with half the posterior, where none of them is a hypothesis. lang stays as declared."""
+    rows = docs.select(*language.evidence(_row(), F.col("text"), F.col("lang"), F.col("source")))
+    return _without(docs, _row(), language.identify(rows, language.fit(rows)).where("not accepted").select("key"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the one whose id is smallest."""
-    return _without(docs, near_duplicates(docs, size=5, percent=80).where("not kept").select("doc_id"))
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the one whose id is smallest. Rows that share an id stay or go together; rows without an id, and null and blank texts, stay."""
+    gone = near_duplicates(docs, size=5, percent=80).where("not kept").select(F.col("doc_id").alias("key"))
+    return _without(docs, F.col("doc_id").cast("long"), gone)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go of which a twentieth of the words or more are in benchmark windows."""
-    return _without(docs, judged(contamination(docs, table(spark, sf_dir, "benchmark"))).where("contaminated").select("doc_id"))
+    """Documents go of which a twentieth of the words or more are in benchmark windows. Null and blank texts stay."""
+    found = judged(contamination(docs.select(_row().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")))
+    return _without(docs, _row(), found.where("contaminated").select(F.col("doc_id").alias("key")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come to their mixture weights: as many tokens as before, no source more than 1.25 times over."""
-    return mixed(docs, repetition=REPETITION, block_tokens=BLOCK_TOKENS).select(docs.columns)
+    """Sources come to their mixture weights: as many tokens as before, no source more than 1.25 times over. A null source is a source."""
+    return mixed(_packed(docs, "doc_id", "text", "source"), repetition=REPETITION, block_tokens=BLOCK_TOKENS).select("doc.*")
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

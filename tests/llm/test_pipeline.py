@@ -160,6 +160,23 @@ def test_all_five_stages(spark, corpus):
     assert {r.text for r in out.collect()} <= {r[1] for r in left3}
 
 
+def test_stages_judge_rows_and_keep_their_columns(spark, corpus):
+    """Names that clash or hold dots; an id with a clean and a contaminated text, and with a letterless one."""
+    import corpus_pipeline
+
+    path, rows, passage = corpus
+    clean = [r[1] for r in rows if r[0] is not None and r[0] < 40]
+    given = [(i, t, "en", "s", 0, 1, "x", "y", "z") for i, t in enumerate(clean)] + [(3, passage, "en", "s", 0, 1, "x", "y", "z"), (4, "12 !!", "en", "s", 0, 1, "x", "y", "z"), (None, "34 !!", "en", "s", 0, 1, "x", "y", "z"), (None, passage, "en", "s", 0, 1, "x", "y", "z")]
+    docs = spark.createDataFrame(given, DOCUMENTS + ", key int, `a.b` string, epoch string, doc string")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs_ = stage(spark, docs, path)
+        assert docs_.columns == docs.columns and {tuple(r)[5:] for r in docs_.collect()} == {(1, "x", "y", "z")}, name
+        kept.append(Counter((r.doc_id, r.text) for r in docs_.collect()))
+    everything = Counter((r[0], r[1]) for r in given)
+    assert everything - kept[0] == Counter([(4, "12 !!"), (None, "34 !!")]) and everything - kept[2] == Counter([(3, passage), (None, passage)])
+
+
 def test_stages_of_empty_tables(spark, corpus):
     import corpus_pipeline
 
