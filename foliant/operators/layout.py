@@ -159,8 +159,8 @@ def body_start(lines: DataFrame, within: int = 25) -> DataFrame:
 
 def report_line(text: Column) -> Column:
     """Whether a line is about the report: two dates, from .. to, or a long code."""
-    date = r"[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}"
-    return text.rlike(f"{date}.*{date}") | text.rlike(r"(?i)\bfrom\b.*\bto\b.*[0-9]") | text.rlike(r"(^|\s)[0-9][0-9A-Za-z]{9,}(\s|$)")
+    date = "[0-9]{1,2}[-/][0-9]{1,2}[-/][0-9]{2,4}"
+    return text.rlike(f"{date}.*{date}") | text.rlike(r"(?i)\bfrom\b.*\bto\b.*[0-9]") | text.rlike("[0-9][0-9A-Za-z]{9,}")
 
 
 def bands(values: DataFrame, key: list[str], value: str, gap: Column) -> DataFrame:

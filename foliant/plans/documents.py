@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import roles as R
 from foliant.functions import text as T
+from foliant.operators import decisions as R_
+from foliant.operators import envelope as E
 from foliant.operators import layout as L
 from foliant.operators import payload as P
 from foliant.operators import quality as Q
@@ -135,7 +137,34 @@ def _lanes(s, d):
     return L.lanes(figures, columns)
 
 
+#: Texts of lines, and whether they are about the report; fenced answers, and what is in them.
+LINES_ABOUT = [("From 01/05/2026 To 29/05/2026", True), ("GSTIN x09AABCU9603R1ZM", True), ("1/2/24 .. 03-04-2024", True), ("Qty Rate 12", False), ("0161234567890 call", True), ("from A to B 7", True)]
+FENCED = [("```json\n{}\n```", "{}"), ("no fence", "no fence"), ("``` \na", "a"), ("x\n```", "x")]
+
+
+def _recall(s, d):
+    """Words of an order: every third is missing, every second of the rest drifts by 10 pixels."""
+    li = read(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("idx")).agg(F.min("l_partkey").alias("p"))
+    truth = li.select("page", "idx", F.concat(F.lit("w"), F.col("idx").cast("string")).alias("text"), F.lit(5.0).alias("x"), (F.col("idx") * 20.0).alias("y"), "p")
+    found = truth.where("p % 3 > 0").withColumn("x", F.col("x") + F.when(F.col("p") % 2 == 0, 10.0).otherwise(3.0))
+    again = found.withColumn("x", F.col("x") + 500.0)
+    return Q.nearest(found.unionAll(again), truth.drop("p"), ["page"], 8.0).select("page", "idx", "distance", "present", "near")
+
+
+def _gate(s, d):
+    o = read(s, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("k"))
+    v = lambda n, low: (F.lit(low) + F.col("k") % n).cast("double")
+    return o.select("o_orderkey", Q.passes(v(3, 94), v(5, 94), v(7, 94), v(11, 94), v(4, 97), (F.col("k") % 2) * 0.1 + 0.8, F.col("k") % 13 == 0).alias("passes"))
+
+
 QUERIES = {
+    "keyed_lookup": lambda s, d: S.lookup(ledger(s, d).withColumn("request_id", F.concat(F.lit("req-"), F.col("id").cast("string"))), "77").select("id", "status").unionAll(S.lookup(ledger(s, d).withColumn("request_id", F.concat(F.lit("req-"), F.col("id").cast("string"))), "req-5").select("id", "status")).unionAll(S.lookup(ledger(s, d).withColumn("request_id", F.when(F.col("id") == 9, "12")), "12").select("id", "status")),
+    "report_lines": lambda s, d: read(s, d, "customer").select("c_custkey", L.report_line(_pick([t for t, _ in LINES_ABOUT], F.col("c_custkey") % len(LINES_ABOUT))).alias("report")),
+    "fence_strip": lambda s, d: read(s, d, "customer").select("c_custkey", T.unfenced(_pick([t for t, _ in FENCED], F.col("c_custkey") % len(FENCED))).alias("text")),
+    "ocr_recall": _recall,
+    "production_gate": _gate,
+    "repair_accept": lambda s, d: read(s, d, "part").select("p_partkey", R_.repair_accepted(F.when(F.col("p_partkey") % 4 == 0, "no figure").otherwise((F.col("p_partkey") % 10 + F.when(F.col("p_partkey") % 4 == 1, 0.04).otherwise(0.06)).cast("string")), (F.col("p_partkey") % 10).cast("double")).alias("accepted")),
+    "final_confidence": lambda s, d: read(s, d, "customer").select("c_custkey", E.final_confidence(F.when(F.col("c_custkey") % 5 == 0, 0.77), F.when(F.col("c_custkey") % 3 == 0, 0.66), F.when(F.col("c_custkey") % 2 == 0, "LEDGER").otherwise("FORM"), F.lit(0), F.col("c_custkey") % 7 > 0, F.lit(0.5)).alias("confidence")),
     "field_templates": lambda s, d: D.templated(_fields(s, d), "c_custkey").select("c_custkey", "document_type", "path", "value", "ord"),
     "type_refinement": lambda s, d: read(s, d, "customer").select("c_custkey", D.refined_type(_pick(["UNKNOWN", "FORM", "LEDGER"], F.floor(F.col("c_custkey") / 12) % 3), _pick([x[0] for x in _SHOWN], F.col("c_custkey") % 12), F.floor(F.col("c_custkey") / 36) % 2 == 0, F.lit(0)).alias("t")).select("c_custkey", "t.*"),
     "primary_tables": lambda s, d: P.ranked_tables(_tables_of(s, d), "c_custkey").where("place is not null").select("c_custkey", "field", "table_idx", "place"),
@@ -163,6 +192,13 @@ QUERIES = {
 }
 _HMAC = hashlib.sha256(bytes(b ^ 0x5C for b in SECRET.ljust(64, b"\0")) + hashlib.sha256(bytes(b ^ 0x36 for b in SECRET.ljust(64, b"\0")) + b"fixed message").digest()).hexdigest()
 SQL = {
+    "keyed_lookup": f"WITH {LEDGER_SQL} SELECT id, status FROM ledger WHERE id IN (77, 5, 9)",
+    "report_lines": f"SELECT c_custkey, report FROM customer JOIN {_values([(k, b) for k, (_, b) in enumerate(LINES_ABOUT)])} AS v(k, report) ON c_custkey % {len(LINES_ABOUT)} = k",
+    "fence_strip": f"SELECT c_custkey, text FROM customer JOIN {_values([(k, b) for k, (_, b) in enumerate(FENCED)])} AS v(k, text) ON c_custkey % {len(FENCED)} = k",
+    "ocr_recall": "SELECT l_orderkey AS page, l_linenumber AS idx, CASE WHEN p % 3 > 0 THEN CASE WHEN p % 2 = 0 THEN 10.0 ELSE 3.0 END END::DOUBLE AS distance, p % 3 > 0 AS present, p % 3 > 0 AND p % 2 = 1 AS near FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY 1, 2)",
+    "production_gate": "SELECT o_orderkey, o_orderkey % 3 >= 1 AND o_orderkey % 5 >= 1 AND o_orderkey % 7 >= 1 AND o_orderkey % 11 >= 1 AND o_orderkey % 4 >= 1 AND o_orderkey % 2 = 1 AND o_orderkey % 13 <> 0 AS passes FROM orders",
+    "repair_accept": "SELECT p_partkey, p_partkey % 4 = 1 AS accepted FROM part",
+    "final_confidence": "SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c ELSE least(c, 0.1) END::DOUBLE AS confidence FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 0.77 WHEN c_custkey % 2 = 0 THEN 0.3 WHEN c_custkey % 3 = 0 THEN 0.66 ELSE 0.5 END AS c FROM customer)",
     "field_templates": _templated_sql(),
     "type_refinement": f"""WITH t AS (SELECT c_custkey, ['UNKNOWN', 'FORM', 'LEDGER'][c_custkey // 12 % 3 + 1] AS t, c_custkey // 36 % 2 = 0 AS legible, shown FROM customer JOIN {_values([(k, x[1]) for k, x in enumerate(_SHOWN)])} AS v(k, shown) ON c_custkey % 12 = k), u AS (SELECT *, legible AND t <> 'LEDGER' AND shown <> 'UNKNOWN' AS y FROM t)
       SELECT c_custkey, CASE WHEN y THEN shown ELSE t END AS document_type, CASE WHEN y THEN CASE shown WHEN 'FORM' THEN 0.98 ELSE 0.99 END END::DOUBLE AS confidence FROM u""",
