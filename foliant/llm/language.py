@@ -124,7 +124,8 @@ def identify(rows: DataFrame, model: Trigrams, strength: float = 8.0, confidence
 
     A row is accepted if its text holds a letter and its best language's posterior, with none of the
     languages as a hypothesis, is `confidence` or more. language is the best one all the same.
-    Null, empty and letterless texts are judged by the other evidence, and not accepted. A null or unknown
+    Of equal ones the language that more rows declare wins, then the first by name. Repeated rows are counted
+    and judged each, and alike. Null, empty and letterless texts are judged by the other evidence, and not accepted. A null or unknown
     declaration, suffix or host says nothing. Without a fitted language, language is null, and every text
     with a letter is accepted.
     """
