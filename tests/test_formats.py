@@ -46,6 +46,7 @@ def test_pages_to_tables(spark):
 
 def test_database(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", f"{tmp_path}/derby.log")
     try:
         spark.createDataFrame([(k, f"n{k}") for k in range(20)], "id int, name string").write.format("jdbc").option("url", url).option("dbtable", "things").save()
     except Exception as e:
