@@ -95,6 +95,13 @@ def retained(records: DataFrame, days: int, now: Column) -> DataFrame:
     return records.where(F.col("created_at") >= now - F.expr(f"INTERVAL {int(days)} DAYS"))
 
 
+def kept_files(files: DataFrame, records: DataFrame, days: int, now: Column) -> DataFrame:
+    """files (path, modified, record_id) with kept: not older than so many days, or of a record that is still there."""
+    there = records.select(F.col("id").alias("record_id"), F.lit(True).alias("_there")).distinct()
+    young = F.col("modified") >= now - F.expr(f"INTERVAL {int(days)} DAYS")
+    return files.join(there, "record_id", "left").select(*files.columns, (young | F.coalesce("_there", F.lit(False))).alias("kept"))
+
+
 def stored_names(uploads: DataFrame, taken: DataFrame, name: str, order: str) -> DataFrame:
     """File names to store under: the safe name, with eight hex digits before it where it is taken."""
     safe = F.regexp_replace(name, r"[^a-zA-Z0-9_\-.]", "_")

@@ -65,6 +65,15 @@ def confidence(rows: DataFrame, ocr: float = 0.98, layout: float = 0.95, key: st
     return out.select(key, "n", "checks", "mismatches", "confidence", ((F.col("mismatches") > 0) | (F.col("confidence") < 0.75) | (F.col("width") < 2)).alias("needs_review"))
 
 
+def reviews(tables: DataFrame, key: str = "table_id") -> DataFrame:
+    """(key, confidence, footing_differs, needs_review) of every table: a wrong row, sums that differ from the printed ones, little confidence, fewer than two columns or no rows ask for a person. Without rows the confidence is 0.25."""
+    rows = stock_rows(tables, key)
+    sums = footing(rows, key).select(key, (F.col("status") == "MISMATCH").alias("footing_differs"))
+    out = tables.select(key).join(confidence(rows, key=key).join(sums, key), key, "left")
+    review = F.coalesce(F.col("needs_review") | F.col("footing_differs"), F.lit(True))
+    return out.select(key, F.coalesce("confidence", F.lit(0.25)).alias("confidence"), F.coalesce("footing_differs", F.lit(False)).alias("footing_differs"), review.alias("needs_review"))
+
+
 def arithmetic_flags(rows: DataFrame, cells: dict[str, str]) -> DataFrame:
     """rows with flag: UNBALANCED where opening + receipt - issue misses closing by more than 0.05. Dash is zero; a blank, an all-zero or a total row is not judged."""
     v = {q: row_number_value(F.col(cells[q])) for q in QUANTITIES}

@@ -65,6 +65,7 @@ QUERIES = {
     "export_csv_rows": _fields,
     "copy_missing_ids": lambda s, d: S.missing(read(s, d, "documents"), read(s, d, "labels"), "doc_id").select("doc_id", "source"),
     "cascade_delete": lambda s, d: S.without_deleted(read(s, d, "labels"), read(s, d, "documents").where("lang = 'en'"), "doc_id", "doc_id").select("doc_id", "quality"),
+    "retention_files": lambda s, d: S.kept_files(ledger(s, d).select(F.col("original_filename").alias("path"), F.col("created_at").alias("modified"), F.col("id").alias("record_id")), ledger(s, d).where("id % 3 = 0"), 7, F.expr(NOW)).select("record_id", "kept"),
     "retention_keep": lambda s, d: S.retained(ledger(s, d), 7, F.expr(NOW)).select("id", "status"),
 }
 SQL = {
@@ -89,5 +90,6 @@ SQL = {
       {'ord': 3, 'line': '"c_name","' || c_name || '"'}, {'ord': 4, 'line': '"c_mktsegment","' || c_mktsegment || '"'}, {'ord': 5, 'line': '"c_nationkey","' || c_nationkey || '"'}]) AS u FROM customer)""",
     "copy_missing_ids": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "cascade_delete": "SELECT doc_id, quality FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')",
+    "retention_files": f"WITH {LEDGER_SQL} SELECT id AS record_id, id % 3 = 0 OR created_at >= {NOW} - INTERVAL 7 DAYS AS kept FROM ledger",
     "retention_keep": f"WITH {LEDGER_SQL} SELECT id, status FROM ledger WHERE created_at >= {NOW} - INTERVAL 7 DAYS",
 }

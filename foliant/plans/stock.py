@@ -50,6 +50,7 @@ QUERIES = {
     "stock_row_check": lambda s, d: S.stock_rows(tables(s, d)).select("table_id", "row_index", "product", "closing", "status", "calculated", "discrepancy"),
     "stock_footing": lambda s, d: S.footing(S.stock_rows(tables(s, d))),
     "stock_confidence": lambda s, d: S.confidence(S.stock_rows(tables(s, d))),
+    "stock_review": lambda s, d: S.reviews(tables(s, d).unionAll(s.read.parquet(f"{d}/region.parquet").select((-F.col("r_regionkey") - 1).cast("long").alias("table_id"), F.array(F.lit("Item")).alias("columns"), F.array().cast("array<array<string>>").alias("rows")))),
     "row_arithmetic": lambda s, d: S.arithmetic_flags(_flat(s, d), _CELLS).select("table_id", "row_index", "flag"),
     "row_arithmetic_audit": lambda s, d: S.audit(_flat(s, d), _CELLS, "table_id"),
     "ledger_heal_bleed": _bled,
@@ -70,3 +71,5 @@ SQL = {
       w AS (SELECT *, c IS NOT NULL AND coalesce(lead(o) OVER k = o AND lead(i) OVER k = j, false) AND o <> 0 AND j <> 0 AND o + r - i <> c AS bled FROM z WINDOW k AS (PARTITION BY table_id ORDER BY l_partkey))
       SELECT table_id, l_partkey AS row_index, CAST(CASE WHEN bled THEN c ELSE o END AS VARCHAR) AS opening, CASE WHEN bled OR idle THEN '0' WHEN r = 0 THEN '-' ELSE CAST(r AS VARCHAR) END AS receipt, CASE WHEN bled OR idle THEN '0' ELSE CAST(i AS VARCHAR) END AS issue, '0.00' AS amount, CASE WHEN bled THEN 'bleed' WHEN idle THEN 'idle' END AS repair_source FROM w""",
 }
+SQL["stock_review"] = f"""SELECT t.table_id, coalesce(c.confidence, 0.25) AS confidence, coalesce(f.status = 'MISMATCH', false) AS footing_differs, coalesce(c.needs_review OR f.status = 'MISMATCH', true) AS needs_review
+  FROM (SELECT DISTINCT l_partkey // 10 AS table_id FROM lineitem UNION ALL SELECT -r_regionkey - 1 FROM region) t LEFT JOIN ({SQL["stock_confidence"]}) c ON t.table_id = c.table_id LEFT JOIN ({SQL["stock_footing"]}) f ON t.table_id = f.table_id"""
