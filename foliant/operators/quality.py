@@ -199,7 +199,7 @@ def weighted(metrics: DataFrame, key: str, metric: str, n: str) -> DataFrame:
 
 
 def anomalies(tables: DataFrame, key: str) -> DataFrame:
-    """(key, rule, place) for tables (columns, rows): names that absorbed a row, application chrome, labels merged into products, rows without values, garbled figures, repeated descriptions."""
+    """(key, rule, place) for tables (columns, rows): names that absorbed a row, application chrome, labels merged into products, rows without values, garbled figures, repeated descriptions, neighbours of one name of which one is empty."""
     # Signs of an application's own window, words of headers.
     chrome = r"(?i)[\w.+-]+@[\w-]+\.\w+|www\.|\bf[0-9]{1,2}\s*[-:]|\bmobile\s*:|\bhelp\s*line|\besc\b|jline"
     headers = "description|particulars|item|product|packing|opening|receipt|issue|closing|balance|qty|rate|amount"
@@ -228,6 +228,11 @@ def anomalies(tables: DataFrame, key: str) -> DataFrame:
     found = [c.where(t).select(key, F.lit(n).alias("rule"), F.col("j").cast("long").alias("place")) for n, t in names]
     found += [r.where(t).select(key, F.lit(n).alias("rule"), F.col("i").cast("long").alias("place")) for n, t in rows]
     found += [cell.where(t).select(key, F.lit(n).alias("rule"), (F.col("i") * 1000 + F.col("j")).cast("long").alias("place")) for n, t in cells]
+    filled = F.aggregate("rows", F.lit(0), lambda n, x: n + F.when(F.trim(F.coalesce(F.get(x, F.col("j")), F.lit(""))) != "", 1).otherwise(0))
+    after = F.aggregate("rows", F.lit(0), lambda n, x: n + F.when(F.trim(F.coalesce(F.get(x, F.col("j") + 1), F.lit(""))) != "", 1).otherwise(0))
+    pair = tables.select(key, "rows", F.posexplode("columns").alias("j", "name"), F.col("columns")).withColumns({"a": folded("name"), "b": folded(F.get("columns", F.col("j") + 1))})
+    split = (F.col("a") != "") & (F.col("a") == F.col("b")) & (F.least(filled, after) <= F.greatest(F.lit(1), F.floor(F.size("rows") / 5)))
+    found.append(pair.where(split).select(key, F.lit("split_column").alias("rule"), F.col("j").cast("long").alias("place")))
     often = r.where("d <> ''").groupBy(key, F.lower("d").alias("d")).agg(F.count("*").alias("n"), F.min("i").alias("i")).where("n > 2")
     found.append(often.select(key, F.lit("repeated_description").alias("rule"), F.col("i").cast("long").alias("place")))
     out = found[0]

@@ -61,16 +61,17 @@ def _items(s, d):
 ODD = [
     (["Item", "Col_Num_1_2", "Qty"], [["P TAB EXTRA TOTAL", "1", "2"], ["Alone", "", ""], ["X", "1", "12ab"], ["Same", "1", "1"], ["same", "2", "1"], ["SAME", "007", "1"], ["Total 12", "3", "4"], ["F2 - Save", "1", "1"]]),
     (["Product alpha beta gamma delta", "www.x.com", "Batch", "Qty"], [["P", "a1bc", "12ab", "0.05"], ["Q", "1", "x", "00.5"], ["esc now", "", "", "5"]]),
+    (["Item", "Opn!", "opn", "Bal", "bal"], [["A", "1", "", "1", "1"], ["B", "2", "", "2", "2"], ["C", "3", "9", "3", "3"]]),
 ]
 ODD_FOUND = [
     (0, "placeholder_column", 1), (0, "merged_total", 0), (0, "no_values", 1), (0, "letters_in_figure", 2002), (0, "leading_zeros", 5001), (0, "repeated_description", 3), (0, "row_chrome", 7),
-    (1, "absorbed_row", 0), (1, "column_chrome", 1), (1, "letters_in_figure", 1), (1, "leading_zeros", 3), (1, "leading_zeros", 1003), (1, "row_chrome", 2),
+    (1, "absorbed_row", 0), (1, "column_chrome", 1), (1, "letters_in_figure", 1), (1, "leading_zeros", 3), (1, "leading_zeros", 1003), (1, "row_chrome", 2), (2, "split_column", 1),
 ]
 
 
 def _odd_tables(s, d):
     value = lambda h, rows: F.struct(F.array(*(F.lit(x) for x in h)).alias("columns"), F.array(*(F.array(*(F.lit(x) for x in r)) for r in rows)).alias("rows"))
-    t = F.get(F.array(*(value(h, rows) for h, rows in ODD)), (F.col("s_suppkey") % 2).cast("int"))
+    t = F.get(F.array(*(value(h, rows) for h, rows in ODD)), (F.col("s_suppkey") % 3).cast("int"))
     return read(s, d, "supplier").select(F.col("s_suppkey").cast("long").alias("table_id"), t.alias("t")).select("table_id", "t.*")
 
 
@@ -170,7 +171,7 @@ SQL = {
     "latency_percentiles": f"""WITH {LEDGER_SQL}, r AS (SELECT document_type, processing_time AS s, row_number() OVER (PARTITION BY document_type ORDER BY processing_time) AS r, (count(*) OVER (PARTITION BY document_type) + 1) * 0.9::DOUBLE AS ra FROM ledger)
       SELECT document_type, count(*) AS n, min(s) AS least, round(median(s), 4) AS median, round(max(s) FILTER (r = floor(ra)) + (max(s) FILTER (r = floor(ra) + 1) - max(s) FILTER (r = floor(ra))) * any_value(ra - floor(ra)), 4) AS p90, max(s) AS most FROM r GROUP BY 1""",
     "weighted_recall": "SELECT l_returnflag, round(sum(l_discount * l_linenumber) / sum(l_linenumber), 4) AS l_discount FROM lineitem GROUP BY 1",
-    "anomaly_rules": f"SELECT CAST(s_suppkey AS BIGINT) AS table_id, rule, place::BIGINT AS place FROM supplier JOIN {_golden(ODD_FOUND, 'k, rule, place')} ON s_suppkey % 2 = k",
+    "anomaly_rules": f"SELECT CAST(s_suppkey AS BIGINT) AS table_id, rule, place::BIGINT AS place FROM supplier JOIN {_golden(ODD_FOUND, 'k, rule, place')} ON s_suppkey % 3 = k",
     "match_modes": "SELECT n_nationkey, n_nationkey % 5 <> 0 OR n_name = lower(n_name) AS ok FROM nation",
     "edit_rate": "SELECT p_partkey, round(1 - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type), 1), 4) AS rate FROM part",
     "envelope_fields": """SELECT c_custkey, 'name' AS path, c_name AS value, round(c_custkey % 100 / 100, 2) AS confidence, 0 AS ord, c_custkey % 100 < 60 AS review FROM customer UNION ALL SELECT c_custkey, 'segment', c_mktsegment, .95, 2, false FROM customer
