@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions import ids
-from foliant.functions.text import folded
+from foliant.functions.text import folded, nfkc
 
 # Answers that are a form's own words, and fields whose text is rewritten rather than copied.
 PLACEHOLDER = r"(?i)^\s*(\[[^\]]*\]|\{[^}]*\}|<[^>]*>|n/?a|none|null|nil|tbd|xxx+|--+|lorem\b.*|your\s+\w+|sample\s+\w+|enter\s+\w+|description|placeholder|text\s+here|company\s+name|full\s+name)\s*$"
@@ -43,8 +43,14 @@ def conflicts(path: Column, value: Column, fields: Column) -> Column:
     return (own != "") & (birth | (low.contains("aadhaar_number") & same("enrollment_number")))
 
 
-def verdicts(fields: DataFrame) -> DataFrame:
-    """Fields (doc_id, path, value, page_text, legible, digital, fields) with status: exact, verified, unchecked or flagged. The first rule that applies decides."""
+def verdicts(fields: DataFrame, wide: bool = False) -> DataFrame:
+    """Fields (doc_id, path, value, page_text, legible, digital, fields) with status: exact, verified, unchecked or flagged. The first rule that applies decides.
+
+    wide: values are looked for on pages with letters of other widths and forms as plain ones.
+    """
+    form = nfkc if wide else lambda c: c
+    columns = fields.columns
+    fields = fields.withColumns({"_value": form(F.col("value")), "_page": form(F.col("page_text"))})
     path, value = F.lower(F.col("path")), F.col("value")
     spaced = path.rlike("phone|mobile|aadhaar")
     shape = ids.format_ok(path, F.when(spaced, F.trim(value)).otherwise(F.regexp_replace(value, r"\s", "")))
@@ -53,9 +59,9 @@ def verdicts(fields: DataFrame) -> DataFrame:
     status = (
         F.when(value.rlike(PLACEHOLDER) | ~F.col("legible"), "flagged").when(~F.coalesce(shape, F.lit(True)), "flagged")
         .when(F.coalesce(conflicts(path, value, F.col("fields")), F.lit(False)), "flagged").when(~F.coalesce(structure, F.lit(True)), "flagged")
-        .when(F.col("digital"), "exact").when(path.rlike("|".join(REWRITTEN)), "unchecked").when(grounded(value, F.col("page_text")), "verified").otherwise("flagged")
+        .when(F.col("digital"), "exact").when(path.rlike("|".join(REWRITTEN)), "unchecked").when(grounded(F.col("_value"), F.col("_page")), "verified").otherwise("flagged")
     )
-    return fields.where(F.trim(value) != "").withColumn("status", status)
+    return fields.where(F.trim(value) != "").select(*columns, status.alias("status"))
 
 
 def verification(verdict: DataFrame, documents: DataFrame | None = None, key: str = "doc_id") -> DataFrame:

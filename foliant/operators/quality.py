@@ -5,8 +5,10 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from foliant.functions.cells import lenient_number, row_number_value, semantic
@@ -255,6 +257,12 @@ def edit_rate(a: Column, b: Column) -> Column:
     return F.round(1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)), 4)
 
 
+@F.pandas_udf(DoubleType())
+def character_errors(truth: pd.Series, found: pd.Series) -> pd.Series:
+    """One less the share of letters that both texts have in order, to four places; null counts as empty."""
+    return pd.Series([round(1 - SequenceMatcher(None, a or "", b or "").ratio(), 4) for a, b in zip(truth, found, strict=True)], dtype="float64")
+
+
 def nearest(found: DataFrame, truth: DataFrame, key: list[str], reach: float) -> DataFrame:
     """Per row of truth (key, idx, text, x, y): whether found has its text on the page, and within reach. Joined on page and text."""
     f = found.select(*key, F.col("text"), F.col("x").alias("fx"), F.col("y").alias("fy"))
@@ -263,4 +271,4 @@ def nearest(found: DataFrame, truth: DataFrame, key: list[str], reach: float) ->
     return g.withColumns({"present": F.col("distance").isNotNull(), "near": F.coalesce(F.col("distance") <= reach, F.lit(False))})
 
 
-__all__ = ["accuracy", "aligned", "anomalies", "at_ranks", "average_delta", "cell_correct", "document_scores", "edit_rate", "latency", "matched", "matched_columns", "nearest", "passes", "similarity", "stability", "truth_faults", "weighted"]
+__all__ = ["accuracy", "aligned", "anomalies", "at_ranks", "average_delta", "cell_correct", "character_errors", "document_scores", "edit_rate", "latency", "matched", "matched_columns", "nearest", "passes", "similarity", "stability", "truth_faults", "weighted"]

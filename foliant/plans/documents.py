@@ -10,6 +10,7 @@ from foliant.functions import roles as R
 from foliant.functions import text as T
 from foliant.operators import decisions as R_
 from foliant.operators import envelope as E
+from foliant.operators import fields as V
 from foliant.operators import layout as L
 from foliant.operators import payload as P
 from foliant.operators import quality as Q
@@ -188,6 +189,8 @@ QUERIES = {
     "key_projection": lambda s, d: read(s, d, "customer").select("c_custkey", F.map_keys(S.without_keys(F.create_map(F.lit("tables"), F.col("c_name"), F.lit("text"), F.col("c_mktsegment")), ["tables", "cells_metadata"])).alias("k")).select("c_custkey", F.array_join("k", ",").alias("keys")),
     "upload_dropped": lambda s, d: S.dropped_uploads(ledger(s, d), "original_filename", "id"),
     "export_pretty": lambda s, d: read(s, d, "nation").select("n_nationkey", P.pretty_text(F.concat(F.lit('{"name":"'), F.col("n_name"), F.lit('","list":[1,2]}')), F.lit("body"), F.col("n_name")).alias("text")),
+    "character_errors": lambda s, d: read(s, d, "part").select("p_partkey", Q.character_errors(F.lit("abcdef12"), _pick(["abcdef12", "abcxef12", "", "zzz"], F.col("p_partkey") % 4)).alias("rate")),
+    "grounding_wide": lambda s, d: V.verdicts(read(s, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit("name").alias("path"), F.lit("Ｎｏｖａ ﬁeld").alias("value"), F.concat("n_name", F.when(F.col("n_nationkey") % 2 == 0, " nova FIELD").otherwise(" ｎｏva")).alias("page_text"), F.lit(True).alias("legible"), F.lit(False).alias("digital"), F.create_map(F.lit("name"), F.lit("x")).alias("fields")), wide=True).select("doc_id", "status"),
     "history_all": lambda s, d: read(s, d, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")),
 }
 _HMAC = hashlib.sha256(bytes(b ^ 0x5C for b in SECRET.ljust(64, b"\0")) + hashlib.sha256(bytes(b ^ 0x36 for b in SECRET.ljust(64, b"\0")) + b"fixed message").digest()).hexdigest()
@@ -223,5 +226,7 @@ SQL = {
     "key_projection": "SELECT c_custkey, 'text' AS keys FROM customer",
     "upload_dropped": f"WITH {LEDGER_SQL} SELECT original_filename, count(DISTINCT id) - 1 AS copies FROM ledger GROUP BY 1 HAVING count(DISTINCT id) > 1",
     "export_pretty": """SELECT n_nationkey, '=== ' || n_name || ' ===' || chr(10) || chr(10) || '{' || chr(10) || '  "name": "' || n_name || '",' || chr(10) || '  "list": [' || chr(10) || '    1,' || chr(10) || '    2' || chr(10) || '  ]' || chr(10) || '}' || chr(10) || chr(10) || 'body' AS text FROM nation""",
+    "character_errors": "SELECT p_partkey, [0.0, 0.125, 1.0, 1.0][p_partkey % 4 + 1]::DOUBLE AS rate FROM part",
+    "grounding_wide": "SELECT n_nationkey AS doc_id, CASE WHEN n_nationkey % 2 = 0 THEN 'verified' ELSE 'flagged' END AS status FROM nation",
     "history_all": "SELECT event_id, ts FROM events",
 }
