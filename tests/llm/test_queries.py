@@ -109,7 +109,7 @@ def test_near_duplicates(docs, texts, empty):
     assert near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize(("peels", "bundle", "shingles"), [(2, 128, 200_000), (0, 5, 200_000), (0, 128, 150), (1, 3, 90)])
+@pytest.mark.parametrize(("peels", "bundle", "shingles"), [(2, 128, 200_000), (0, 5, 200_000), (1, 3, 90)])
 def test_links_between_classes_are_not_lost(spark, monkeypatch, peels, bundle, shingles):
     """Texts that chain: the first of a bucket links with few of it. Rounds and tiles of any size find the same."""
     import foliant.llm.minhash as m
